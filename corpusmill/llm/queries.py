@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe_automaton
+from corpusmill.llm import bpe_automaton, homoglyphs, leaks
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,31 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Decoded ids of every document with a text: equal to the text as stored."""
     ids = bpe_automaton.encode(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
     return bpe_automaton.decode(ids, "doc_id")
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+
+
+@query()
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where each leaked piece stands in the original text."""
+    return leaks.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", spans=True)
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return homoglyphs.pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return homoglyphs.canonical(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a visible text and the class of texts that read the same."""
+    return homoglyphs.classes(table(spark, d, "documents"), "doc_id", "text")
