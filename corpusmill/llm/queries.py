@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import bpe_automaton, homoglyphs, leaks
+from corpusmill.llm import bpe_automaton, homoglyphs, leaks, neardup
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,18 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every document with a visible text and the class of texts that read the same."""
     return homoglyphs.classes(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, d, "clean_result"), "rec_id", "text", at="ingested_at")
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).pairs()
+
+
+@query()
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that has a like one: its group and its number of links between different texts."""
+    return _near(spark, d).groups()
