@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe_automaton, homoglyphs, leaks, neardup
+from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,59 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every record that has a like one: its group and its number of links between different texts."""
     return _near(spark, d).groups()
+
+
+def _packed(spark: SparkSession, d: str) -> packing.Packed:
+    p = table(spark, d, "passage").select(F.lit("passage").alias("rec_table"), F.col("id").alias("rec_id"), F.col("n_tokens").alias("tokens"))
+    c = table(spark, d, "candidate").select(F.lit("candidate").alias("rec_table"), F.col("id").alias("rec_id"), F.col("context_tokens").alias("tokens"))
+    return packing.Packed(p.unionByName(c))
+
+
+@query(sql="""
+SELECT 'passage' AS rec_table, id AS rec_id FROM passage WHERE n_tokens > 1024 AND id IS NOT NULL GROUP BY id
+UNION ALL SELECT 'candidate', id FROM candidate WHERE context_tokens > 1024 AND id IS NOT NULL GROUP BY id""")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The items that the packing had to cut, from the windows it put them in."""
+    return _packed(spark, d).assigned().where("piece = 1").select("rec_table", "rec_id")
+
+
+@query()
+def p1_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """The window of each item, or of each piece of an item longer than a window."""
+    return _packed(spark, d).assigned()
+
+
+@query()
+def p1_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Each window's items, used and unused tokens."""
+    return _packed(spark, d).windows()
+
+
+def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
+    return mixture.Mixture(table(spark, d, "token_index"), table(spark, d, "source_config"))
+
+
+P4_SHORT = r"""
+WITH s AS (SELECT *, regexp_replace(lower(name), '[\s_\-\x{a0}]+', '', 'g') AS key FROM source_config),
+v AS (SELECT build_id, regexp_replace(lower(source), '[\s_\-\x{a0}]+', '', 'g') AS key, shard, coalesce(train_tokens, 0) AS x,
+        row_number() OVER (PARTITION BY build_id, regexp_replace(lower(source), '[\s_\-\x{a0}]+', '', 'g'), shard ORDER BY written_at DESC, coalesce(train_tokens, 0) DESC) AS n
+      FROM token_index)
+SELECT build_id, name AS source FROM v JOIN s USING (key) WHERE n = 1
+GROUP BY build_id, name, token_budget, max_repeats HAVING sum(x) * max_repeats < token_budget"""
+
+
+@query(sql=P4_SHORT)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).short()
+
+
+@query()
+def p4_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Of each build and source: repeats, target and real share, and whether it falls short."""
+    return _mixture(spark, d).report()
+
+
+@query()
+def p4_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Rate and whole copies of each valid shard."""
+    return _mixture(spark, d).copies()
