@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing
+from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing, pairs
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def p4_mix(spark: SparkSession, d: str) -> DataFrame:
 def p4_copies(spark: SparkSession, d: str) -> DataFrame:
     """Rate and whole copies of each valid shard."""
     return _mixture(spark, d).copies()
+
+
+@query()
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "candidate"))
