@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing, pairs
+from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing, pairs, scans
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,20 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "candidate"))
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "passage").select(F.lit("passage").alias("rec_table"), F.col("id").alias("rec_id"), "text")
+    c = table(spark, d, "clean_result").select(F.lit("clean_result").alias("rec_table"), F.col("rec_id").cast("string").alias("rec_id"), "text")
+    return p.unionByName(c)
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(_scanned(spark, d))
+
+
+@query()
+def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every record with continuous readable text, and which noise it had."""
+    return scans.cleaned(_scanned(spark, d))
