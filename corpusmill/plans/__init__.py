@@ -1 +1 @@
-"""plans of corpusmill."""
+"""Query definitions, one module for each group."""

@@ -2,7 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from corpusmill.plans import cleaning, curation, dedup, evaluation, packing, sampling, scanning, streams, vectors  # noqa: F401
+from corpusmill.plans.registry import QUERIES, SQL  # noqa: F401
