@@ -253,14 +253,17 @@ class Model:
                 self.w[at] -= STEP / (1 + epoch) * grad / np.sqrt(seen[at])
 
     def calibrate(self, rows: list[list[int]], y: np.ndarray) -> None:
-        """For each label the threshold in the middle of the widest best range of F1 on held-out pairs."""
+        """For each label the threshold in the middle of the widest best range of F1 on held-out pairs; without such pairs nothing passes."""
+        if not rows:
+            self.at[:] = np.inf
+            return
         s = self.scores(rows)
         for k in range(len(LABELS)):
             order = np.argsort(-s[:, k])
             hit = np.cumsum(y[order, k])
             f1 = 2 * hit / (np.arange(1, len(order) + 1) + max(1, y[:, k].sum()))
             best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-            lo = s[order[min(best[-1] + 1, len(order) - 1)], k]
+            lo = s[order[min(best[-1] + 1, len(order) - 1)], k] if len(order) > 1 else s[order[0], k]
             self.at[k] = (s[order[best[0]], k] + lo) / 2
 
     def defect(self, s: np.ndarray, unanswerable: np.ndarray) -> np.ndarray:
@@ -285,8 +288,11 @@ def train(rows: list[tuple], seed: int = 7) -> Model:
     sound, bad, of, cut_of = [], [], [], []
     for row, (r, t) in enumerate(zip(rows, tongue)):
         kind, q, a, c = r
-        sound.append((q, a, c))
-        if a and len(a) > 20 and a.rstrip().endswith("."):  # complete without its full stop
+        if kind == "unanswerable" and a and a.strip():  # its refusal is right, but one
+            bad.append((2, q, a, c))
+        else:
+            sound.append((q, a, c))
+        if kind != "unanswerable" and a and len(a) > 20 and a.rstrip().endswith("."):  # complete without its full stop
             sound.append((q, a.rstrip().rstrip("."), c))
         if c and (short := re.findall(r"\b(?:[A-Z]\w{4,}(?: [A-Z]\w+)?|\d+ [A-Z][a-z]+ \d{4}|[\d.]+ percent|\$[\d.,]*\d(?: million)?)\b", c)) and make.r.random() < 0.25:  # an answer may be short
             sound.append((q, make.r.choice(short), c))
