@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing, pairs, scans
+from corpusmill.llm.lookalikes import LATIN, UNSEEN
 from corpusmill.sources.tables import table
 
+# The reading of a text in SQL: unseen characters out, spaces and look-alikes by table, ligatures spelled out, accents composed.
+_FROM = "".join(chr(k) for k in LATIN) + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\xa0\t" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+_TO = "".join(LATIN.values()) + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  " + " " * 11 + "   "
+_UNSEEN_SQL = re.sub(r"\\u([0-9a-f]{4})|\\U([0-9a-f]{8})|\\x([0-9a-f]{2})", lambda m: rf"\x{{{m[1] or m[2] or m[3]}}}", UNSEEN)
+_READ = f"regexp_replace(text, '[{_UNSEEN_SQL}]+', '', 'g')"
+for _a, _b in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl")):
+    _READ = f"replace({_READ}, '{_a}', '{_b}')"
+_READ = f"nfc_normalize(translate({_READ}, '{_FROM.replace(chr(39), chr(39) * 2)}', '{_TO.replace(chr(39), chr(39) * 2)}'))"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -36,7 +47,15 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return bpe_automaton.decode(ids, "doc_id")
 
 
-@query()
+P7_FOUND = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower({_READ}), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all(lower({_READ}), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bg AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, greatest(1, len(w) - 12) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) AS g FROM b WHERE len(w) > 0),
+dg AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, (SELECT DISTINCT n FROM bg) WHERE len(w) >= n)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (n, g)"""
+
+
+@query(sql=P7_FOUND)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
@@ -47,7 +66,9 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", spans=True)
 
 
-@query()
+@query(sql=f"""
+WITH r AS (SELECT doc_id, text, {_READ} AS r FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM r a JOIN r b ON a.r = b.r AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.r, ' ' || chr(10)) <> ''""")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return homoglyphs.pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -68,7 +89,15 @@ def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(table(spark, d, "clean_result"), "rec_id", "text", at="ingested_at")
 
 
-@query()
+P5_FOUND = """
+WITH c AS (SELECT rec_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM clean_result WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY ingested_at DESC, text) = 1),
+s AS (SELECT rec_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM c WHERE len(w) >= 5),
+g AS (SELECT rec_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.rec_id AS rec_a, b.rec_id AS rec_b FROM g a JOIN g b ON a.g = b.g AND a.rec_id < b.rec_id GROUP BY a.rec_id, b.rec_id HAVING count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*)))
+SELECT rec_a, rec_b FROM p UNION SELECT a.rec_id, b.rec_id FROM c a JOIN c b ON a.text = b.text AND a.rec_id < b.rec_id"""
+
+
+@query(sql=P5_FOUND)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).pairs()
 
