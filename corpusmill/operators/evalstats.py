@@ -28,7 +28,7 @@ def per_class(df: DataFrame, true: str, pred: str) -> DataFrame:
 def macro(classes: DataFrame, top: int = 100, rare: int = 10) -> DataFrame:
     """Micro and macro figures of ``per_class``: over classes present, the ``top`` by support, and the rare ones."""
     here = F.col("support") > 0
-    first = classes.where(here).orderBy(F.desc("support"), "c").limit(top).select("c").withColumn("top", F.lit(True))
+    first = classes.orderBy(F.desc("support"), "c").limit(top).select("c").withColumn("top", F.lit(True))
     x = classes.join(first, "c", "left")
     avg = lambda c, on: F.round(F.avg(F.when(on, F.col(c))), 6)
     return x.agg(
