@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe_automaton, homoglyphs, leaks, mixture, neardup, packing, pairs, scans
 from corpusmill.llm.lookalikes import LATIN, UNSEEN
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import spread, table
 
 # The reading of a text in SQL: unseen characters out, spaces and look-alikes by table, ligatures spelled out, accents composed.
 _FROM = "".join(chr(k) for k in LATIN) + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\xa0\t" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
@@ -37,13 +37,13 @@ def query(sql: str | None = None):
 
 @query()
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe_automaton.encode(table(spark, d, "documents"), "doc_id", "text")
+    return bpe_automaton.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query(sql="SELECT doc_id, text FROM documents WHERE text IS NOT NULL")
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Decoded ids of every document with a text: equal to the text as stored."""
-    ids = bpe_automaton.encode(table(spark, d, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    ids = bpe_automaton.encode(spread(table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")), "doc_id", "text")
     return bpe_automaton.decode(ids, "doc_id")
 
 
@@ -57,36 +57,36 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (n, g)"""
 
 @query(sql=P7_FOUND)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
+    return leaks.found(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text")
 
 
 @query()
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:
     """Where each leaked piece stands in the original text."""
-    return leaks.found(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", spans=True)
+    return leaks.found(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", table(spark, d, "benchmark"), "item_id", "text", spans=True)
 
 
 @query(sql=f"""
 WITH r AS (SELECT doc_id, text, {_READ} AS r FROM documents WHERE text IS NOT NULL)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM r a JOIN r b ON a.r = b.r AND a.doc_id < b.doc_id AND a.text <> b.text WHERE trim(a.r, ' ' || chr(10)) <> ''""")
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return homoglyphs.pairs(table(spark, d, "documents"), "doc_id", "text")
+    return homoglyphs.pairs(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query()
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text in its consistent form."""
-    return homoglyphs.canonical(table(spark, d, "documents"), "doc_id", "text")
+    return homoglyphs.canonical(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query()
 def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     """Every document with a visible text and the class of texts that read the same."""
-    return homoglyphs.classes(table(spark, d, "documents"), "doc_id", "text")
+    return homoglyphs.classes(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
-    return neardup.NearDuplicates(table(spark, d, "clean_result"), "rec_id", "text", at="ingested_at")
+    return neardup.NearDuplicates(spread(table(spark, d, "clean_result").select("rec_id", "text", "ingested_at")), "rec_id", "text", at="ingested_at")
 
 
 P5_FOUND = """
@@ -166,13 +166,13 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.defects(table(spark, d, "candidate"))
+    return pairs.defects(spread(table(spark, d, "candidate").select("id", "type", "question", "answer", "context")))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "passage").select(F.lit("passage").alias("rec_table"), F.col("id").alias("rec_id"), "text")
     c = table(spark, d, "clean_result").select(F.lit("clean_result").alias("rec_table"), F.col("rec_id").cast("string").alias("rec_id"), "text")
-    return p.unionByName(c)
+    return spread(p.unionByName(c))
 
 
 @query()
