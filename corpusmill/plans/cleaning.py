@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import clean
 from corpusmill.plans.registry import query
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import spread, table
 
 _WS, _BR = T.SPACE_SQL, T.BREAK_SQL
 #: Kept lines of each document; the condition of a line's boilerplate; the cleaned text; its reason.
@@ -29,7 +29,7 @@ reasoned AS (SELECT doc_id, source, lang, raw, c, CASE WHEN length(c) < 600 THEN
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
 
 
 def _reasons(spark: SparkSession, d: str) -> DataFrame:

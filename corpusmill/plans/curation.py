@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import curate, dedup
 from corpusmill.plans.registry import query
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import spread, table
 
 _WS = T.SPACE_SQL
 _COL = rf"trim(regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g'))"
@@ -31,7 +31,7 @@ c AS (SELECT *, array_to_string(w[1:700], ' ') AS whole FROM w), e AS (SELECT *,
 p AS (SELECT doc_id, source, CASE WHEN len(w) <= 700 THEN t WHEN ended <> '' AND length(ended) >= 0.5 * length(whole) THEN ended ELSE whole END AS p FROM e)
 SELECT source || '-' || lpad(doc_id::VARCHAR, 7, '0') AS id, length(p)::BIGINT AS chars, len(string_split(p, ' '))::BIGINT AS n_tokens, md5(p) AS hash FROM p WHERE len(string_split(p, ' ')) >= 120""")
 def build_passages(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "documents").select("doc_id", "source", curate.passage(F.col("text")).alias("p")).where("p IS NOT NULL")
+    p = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", curate.passage(F.col("text")).alias("p")).where("p IS NOT NULL")
     n = F.size(F.split("p", " ")).cast("bigint")
     return p.select(F.concat("source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("id"), F.length("p").cast("bigint").alias("chars"), n.alias("n_tokens"), F.md5("p").alias("hash")).where(F.col("n_tokens") >= curate.PASSAGE_LEAST)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.operators import dedup
 from corpusmill.plans.registry import query
-from corpusmill.sources.tables import table
+from corpusmill.sources.tables import spread, table
 
 #: Sources whose duplicates and contamination are looked for (the first rule is for court texts, the second also for filings).
 NEAR_SOURCES, BAD_SOURCES = "case-law", "case-law|sec"
@@ -26,7 +26,7 @@ bad AS (SELECT DISTINCT doc_id FROM dg SEMI JOIN bench USING (gram))"""
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "source", "text"))
 
 
 def _held(spark: SparkSession, d: str) -> DataFrame:
