@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.expand import between, within
 from corpusmill.llm.lookalikes import reading, unseen_out
 from corpusmill.sources.tables import cut, ship
 
@@ -27,7 +28,7 @@ from corpusmill.sources.tables import cut, ship
 VOCABULARY = 1 << 16
 #: Longest word of the vocabulary, in characters: bounds the trie.
 LONGEST = 40
-#: Rows of one class up to which every pair is given; beyond, each row is paired with the class's first rows only, and the class table has the rest.
+#: Rows, or different texts, of one group that meet in one join key; a larger group's pairs are all given too, from several.
 ALL_PAIRS = 1000
 #: Weights of the edit automaton: look-alikes and unseen characters are free.
 FREE, EDIT = 0.0, 1.0
@@ -182,27 +183,25 @@ def canonical(df: DataFrame, key: str, text: str, hashes: bool = False, size: in
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and ``class_id`` (the smallest key of the texts that read the same) of every row with a visible text."""
-    h = canonical(df, key, text, hashes=True).select("form", F.col(key).alias("k")).distinct()
+    """Of every row with a visible text ``key``, ``class_id`` (the smallest key of the texts that read the same) and ``raw``, the hash of its text as stored: rows of one class and different ``raw`` are a pair of ``pairs``."""
+    h = canonical(df, key, text, hashes=True).select("form", F.col(key).alias("k"), "raw").distinct()
     first = h.groupBy("form").agg(F.min("k").alias("class_id"))
-    return h.join(first, "form").select(F.col("k").alias(key), "class_id")
+    return h.join(first, "form").select(F.col("k").alias(key), "class_id", F.lower(F.hex("raw")).alias("raw"))
 
 
 def pairs(df: DataFrame, key: str, text: str, all_pairs: int = ALL_PAIRS) -> DataFrame:
-    """``doc_a`` < ``doc_b``: rows whose texts differ in characters but read the same.
+    """``doc_a`` < ``doc_b``: all rows whose texts differ in characters but read the same.
 
-    Equal texts are no pair. Only classes with at least two different texts are
-    joined, by the hash of their form. A class of more than ``all_pairs`` rows
-    gives the pairs of each row with the first row of the class and of the
-    first other text, not all pairs; ``classes`` has its full membership.
-    Repeated rows count once; null keys are left out.
+    Equal texts are no pair. Different texts are paired by the hash of their
+    form, and only then expanded to the rows that hold them; of both, not more
+    than about ``all_pairs`` of one group meet in a join key, larger groups are
+    dealt to several. Repeated rows count once; null keys are left out.
     """
     h = cut(canonical(df, key, text, hashes=True).select(F.col(key).alias("k"), "form", "raw").where("k IS NOT NULL").distinct())
-    some = h.groupBy("form").agg(F.min("raw").alias("r0"), F.max("raw").alias("r1"), F.count("*").alias("n"), F.min_by("k", "raw").alias("k0"), F.max_by("k", "raw").alias("k1")).where("r0 < r1")
-    cases = h.join(some, "form")
-    small = cases.where(F.col("n") <= all_pairs).select("form", "k", "raw")
-    a, b = small.alias("a"), small.alias("b")
-    near = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.k") < F.col("b.k")) & (F.col("a.raw") != F.col("b.raw"))).select(F.col("a.k").alias("doc_a"), F.col("b.k").alias("doc_b"))
-    large = cases.where(F.col("n") > all_pairs).select("k", F.when(F.col("raw") == F.col("r0"), F.col("k1")).otherwise(F.col("k0")).alias("o"))
-    star = large.select(F.least("k", "o").alias("doc_a"), F.greatest("k", "o").alias("doc_b")).distinct()
-    return near.unionByName(star)
+    texts = h.select(F.col("form").alias("c"), F.col("raw").alias("k")).distinct()
+    several = texts.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select("c")
+    links = cut(within(texts.join(several, "c", "left_semi"), all_pairs).select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    rows = h.select(F.col("raw").alias("c"), "k").join(links.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi")
+    # a row whose key is repeated with another text may pair with itself, or twice
+    both = between(links, rows, all_pairs).where("ka != kb")
+    return both.select(F.least("ka", "kb").alias("doc_a"), F.greatest("ka", "kb").alias("doc_b")).distinct()

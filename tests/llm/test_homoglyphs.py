@@ -55,6 +55,19 @@ def test_pairs_and_classes(spark):
     assert star <= want and {x for p in want for x in p} == {x for p in star for x in p}
 
 
+def test_a_class_of_many_copies_and_variants_gives_all_pairs(spark):
+    odd = {"a": "а", "e": "е", "o": "о", "c": "с"}
+    base = "a clerk once read the whole record"
+    variants = [base, *(base.replace(a, b) for a, b in odd.items()), base.replace(" ", "\u2003")]
+    rows = [(k, variants[0] if k % 2 else variants[k // 2 % 6]) for k in range(90)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y}
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [tuple(x) for x in homoglyphs.pairs(df, "doc_id", "text", all_pairs=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    c = homoglyphs.classes(df, "doc_id", "text").collect()
+    assert {x.class_id for x in c} == {0} and {(a.doc_id, b.doc_id) for a in c for b in c if a.doc_id < b.doc_id and a.raw != b.raw} == want
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert homoglyphs.pairs(empty, "doc_id", "text").count() == 0 and homoglyphs.canonical(empty, "doc_id", "text").count() == 0
