@@ -1,12 +1,12 @@
 """Problem 8: one consistent form of texts that read the same.
 
-The corpus' own words, the most frequent first, are the vocabulary; each worker
-holds them as a trie. A token with characters beyond ASCII is walked through
-the trie by a weighted edit automaton in which look-alikes and unseen
-characters cost nothing; the spelling reached at no cost is its canonical one.
-Tokens that reach none are normalised by table. A spelling in ASCII is always
-preferred, else the most frequent one, so all tokens of one reading get one
-spelling, wherever they stand and whatever the vocabulary leaves out.
+A table of look-alikes and unseen characters gives each token's reading, and
+equal readings are what makes texts equal. The corpus' own words beyond ASCII,
+the most frequent first, are the vocabulary; each worker holds them as a trie
+under their readings, which only chooses the spelling of a reading that isn't
+ASCII: the most frequent one. A reading in ASCII is its own spelling, and one
+that the vocabulary leaves out stays as the table gives it, so all tokens of one
+reading get one spelling, wherever they stand.
 """
 
 from __future__ import annotations
