@@ -68,7 +68,7 @@ class Mixture:
         return g.withColumn("short", F.col("tokens").cast("decimal(38,0)") * F.col("most") < F.col("target"))
 
     def multipliers(self) -> DataFrame:
-        """build_id, source and the dual's solution ``m``; null where a source falls short or needs nothing."""
+        """build_id, source, the dual's solution ``m`` and whether it is ``converged``; no row where a source falls short or needs nothing."""
         big = 700.0  # exp of more is no finite number
         mean = F.col("tokens") / F.col("full")
         ratio = F.col("target") / F.col("tokens")
@@ -78,40 +78,35 @@ class Mixture:
             F.least(F.lit(0.0), F.log(ratio) * mean / F.col("xmin")).alias("lo"), F.greatest(F.lit(0.0), F.log(F.col("most").cast("double")) * mean / F.col("xmin")).alias("hi"),
         )
         state = cut(open_.withColumn("m", F.greatest("lo", F.least("hi", "m"))).withColumn("off", F.lit(math.inf)))
-        shards = self.shards.where("x > 0").select("build_id", "source", "x")
+        shards = self.shards.where("x > 0").select("build_id", "source", F.col("x").cast("double").alias("x"))  # squares of token counts pass 64 bits
         for k in range(1, ITERATIONS + 1):
             z = F.least(F.lit(big), F.col("m") * F.col("x") / F.col("mean"))
             w = F.least(F.col("most").cast("double"), F.exp(z))
             free = F.exp(z) < F.col("most")
-            sums = shards.join(state.where(F.col("off") > CLOSE), ["build_id", "source"]).groupBy("build_id", "source").agg(
-                F.sum(F.col("x") * w).alias("g"), F.sum(F.when(free, F.col("x") * F.col("x") / F.col("mean") * w).otherwise(0.0)).alias("h"))
+            # state stands in the plan once, so that it grows by one join an iteration
+            sums = shards.join(state, ["build_id", "source"]).groupBy(*state.columns).agg(
+                F.sum(F.col("x") * w).alias("g"), F.sum(F.when(free, F.col("x") * (F.col("x") / F.col("mean")) * w).otherwise(0.0)).alias("h"))
             err = F.col("g") - F.col("target")
             lo, hi = F.when(err < 0, F.col("m")).otherwise(F.col("lo")), F.when(err > 0, F.col("m")).otherwise(F.col("hi"))
             step = F.col("m") - err / F.when(F.col("h") > 0, F.col("h"))
             inside = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
             off = F.abs(err) / F.col("target")
-            new = state.join(sums, ["build_id", "source"], "left").select(
-                "build_id", "source", "target", "most", "mean",
-                F.when(F.col("g").isNull() | (off <= CLOSE), F.col("m")).otherwise(inside).alias("m"),
-                F.when(F.col("g").isNull(), F.col("lo")).otherwise(lo).alias("lo"), F.when(F.col("g").isNull(), F.col("hi")).otherwise(hi).alias("hi"),
-                F.coalesce(off, "off").alias("off"),
-            )
-            state = new
+            state = sums.select("build_id", "source", "target", "most", "mean", F.when(off <= CLOSE, F.col("m")).otherwise(inside).alias("m"), lo.alias("lo"), hi.alias("hi"), off.alias("off"))
             if k % CUT_EVERY == 0:
                 state = cut(state)
                 if state.where(F.col("off") > CLOSE).isEmpty():
                     break
-        return state.select("build_id", "source", "m", "mean")
+        return state.select("build_id", "source", "m", "mean", (F.col("off") <= CLOSE).alias("converged"))
 
     def copies(self) -> DataFrame:
-        """build_id, source, shard, tokens, rate, copies of every valid shard."""
+        """build_id, source, shard, tokens, rate, copies of every valid shard; ``converged``, whether the rate solves the dual, null where it has none."""
         known = self.setup().select("build_id", "source", "short")
         m = self.multipliers()
         tilt = F.exp(F.least(F.lit(700.0), F.col("m") * F.col("x") / F.col("mean")))
         rate = F.when(F.col("short"), F.col("most").cast("double")).when((F.col("x") > 0) & F.col("m").isNotNull(), F.least(F.col("most").cast("double"), tilt)).otherwise(F.lit(0.0))
         rated = self.shards.join(known, ["build_id", "source"]).join(m, ["build_id", "source"], "left").withColumn("rate", rate)
         part = F.pmod(F.xxhash64("build_id", "source", "shard"), F.lit(PARTS))
-        rated = rated.select("build_id", "source", "shard", "x", "rate", part.alias("part"))
+        rated = rated.select("build_id", "source", "shard", "x", "rate", "converged", part.alias("part"))
         # systematic rounding: a copy for each whole number that the running sum of rates passes, sums in two levels
         sums = rated.groupBy("build_id", "source", "part").agg(F.sum(F.round("rate", 9)).alias("s"))
         before = F.coalesce(F.sum("s").over(Window.partitionBy("build_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -119,24 +114,31 @@ class Mixture:
         run = rated.withColumn("here", here).join(sums.select("build_id", "source", "part", before.alias("before")), ["build_id", "source", "part"])
         to = F.round(F.col("before") + F.col("here"), 6)
         since = F.round(F.col("before") + F.col("here") - F.round("rate", 9), 6)
-        return run.select("build_id", "source", "shard", F.col("x").alias("tokens"), "rate", (F.floor(to + 0.5) - F.floor(since + 0.5)).cast("int").alias("copies"))
+        return run.select("build_id", "source", "shard", F.col("x").alias("tokens"), "rate", (F.floor(to + 0.5) - F.floor(since + 0.5)).cast("int").alias("copies"), "converged")
 
     def report(self) -> DataFrame:
-        """Of each build and source: tokens there are, target share, repeats, tokens mixed, real share, whether it falls short.
+        """Of each build and source: tokens there are, target share, repeats, tokens mixed, real share, whether it falls short, whether its rates converged.
 
         ``repeats`` is the mixed tokens (by rate) in multiples of those there
         are, 0 for a source without tokens; ``real_share`` is of the whole
-        copies, of all sources of the build.
+        copies, of all sources of the build. ``falls_short`` is the exact
+        comparison of whole numbers; ``converged`` is null where it, or a target
+        of 0, leaves no dual to solve, and false where the iterations ended
+        before the rates met the target.
         """
-        mixed = self.copies().groupBy("build_id", "source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("rated"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed"))
+        mixed = self.copies().groupBy("build_id", "source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("rated"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.min("converged").alias("converged"))
         of = Window.partitionBy("build_id")
         return self.setup().join(mixed, ["build_id", "source"]).select(
             "build_id", "source", F.col("tokens").alias("train_tokens"), F.col("target").alias("token_budget"),
             (F.col("target") / F.greatest(F.lit(1), F.sum("target").over(of))).alias("target_share"),
             F.when(F.col("tokens") > 0, F.col("rated") / F.col("tokens")).otherwise(F.lit(0.0)).alias("repeats"),
-            F.col("mixed").alias("mixed_tokens"), (F.col("mixed") / F.greatest(F.lit(1), F.sum("mixed").over(of))).alias("real_share"), F.col("short").alias("falls_short"),
+            F.col("mixed").alias("mixed_tokens"), (F.col("mixed") / F.greatest(F.lit(1), F.sum("mixed").over(of))).alias("real_share"), F.col("short").alias("falls_short"), "converged",
         )
 
     def short(self) -> DataFrame:
-        """build_id, source of the sources whose dual has no solution."""
-        return self.setup().where("short").select("build_id", "source")
+        """build_id, source of the sources of the solved mix whose dual has no solution.
+
+        They have the most repeats and still miss their target; the comparison
+        of whole numbers decides, so no rounding of rates does.
+        """
+        return self.report().where("falls_short").select("build_id", "source")

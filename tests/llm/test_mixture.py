@@ -2,6 +2,7 @@
 
 import pytest
 
+from corpusmill.llm import mixture
 from corpusmill.llm.mixture import Mixture
 
 INDEX = "build_id long, source string, shard int, train_tokens long, written_at timestamp"
@@ -34,6 +35,22 @@ def test_constraints_are_met(spark):
     assert [tuple(x) for x in m.short().collect()] == [(1, "tiny")]
 
 
+def test_short_sources_come_from_the_solved_mix_and_unconverged_ones_are_named(spark, monkeypatch):
+    index = [(1, "a", k, 100 * (k + 1) ** 2, 1) for k in range(9)] + [(1, "tiny", 0, 10, 1)]
+    m = mix(spark, index, [("a", 40_000, 3), ("tiny", 1000, 6)])
+    solved, solve = [], m.multipliers
+    m.multipliers = lambda: solved.append(1) or solve()
+    assert [tuple(x) for x in m.short().collect()] == [(1, "tiny")] and solved
+    assert {x.source: x.converged for x in m.report().collect()} == {"a": True, "tiny": None}
+    monkeypatch.setattr(mixture, "ITERATIONS", 1)
+    assert {x.source: x.converged for x in m.report().collect()} == {"a": False, "tiny": None}
+
+
+def test_large_token_counts_are_solved(spark):
+    m = mix(spark, [(1, "a", k, 5 * 10**9 * (k + 1), 1) for k in range(4)], [("a", 10**11, 3)])
+    assert [(x.falls_short, x.converged) for x in m.report().collect()] == [(False, True)]
+
+
 def test_rows_that_count(spark):
     index = [(1, " CASE law", 0, 100, 1), (1, "case-law", 0, 40, 2), (1, "case_law", 0, 50, 2), (1, "case-law", 1, None, 3), (1, "case-law", 1, 500, 2), (None, "case-law", 0, 9, 1), (1, None, 0, 9, 1), (2, "case-law", 0, 0, 1)]
     m = mix(spark, index, [("case-law", 200, 4), (None, 1, 1)])
