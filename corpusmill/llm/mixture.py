@@ -7,10 +7,11 @@ the most repeats). The dual is convex with one multiplier for each build and
 source, and its solution tilts each rate exponentially,
 ``w = min(R, exp(lambda * x / mean x))``. The multipliers are found by Newton
 iterations, all builds at once; an iteration is one aggregation over the
-shards, summed in parts before its shuffle. Where even ``w = R`` everywhere
-stays below T the dual has no solution: the source falls short and is used R
-times. Rates are rounded to whole copies systematically, so that the copies of
-a source differ from the sum of its rates by less than one.
+shards, summed in parts before its shuffle. Where the constraint stays below T
+even at the upper end of the bracket, where all rates are at the cap, the dual
+has no root: the source falls short and is used R times. Rates are rounded to
+whole copies systematically, so that the copies of a source differ from the sum
+of its rates by less than one.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ ITERATIONS = 40
 #: Relative difference from the token target at which a source is done.
 CLOSE = 1e-6
 #: Iterations between two cuts of the lineage.
-CUT_EVERY = 5
+CUT_EVERY = 6
+#: Type of token sums.
+WIDE = "decimal(28,0)"
+#: Largest exponent: exp of more is no finite number.
+BIG = 700.0
 #: Parts of a source's shards in the rounding, so that no source is summed in one task.
 PARTS = 64
 
@@ -63,32 +68,54 @@ class Mixture:
         self.shards = cut(valid.join(sources, "key").select("build_id", F.col("name").alias("source"), "shard", F.col("v.x").alias("x"), "target", "most"))
 
     def setup(self) -> DataFrame:
-        """Each build's sources: shards, tokens, and whether the dual has a solution."""
-        g = self.shards.groupBy("build_id", "source").agg(F.count("*").alias("shards"), F.sum("x").alias("tokens"), F.min(F.when(F.col("x") > 0, F.col("x"))).alias("xmin"), F.count_if(F.col("x") > 0).alias("full"), F.max("target").alias("target"), F.max("most").alias("most"))
-        return g.withColumn("short", F.col("tokens").cast("decimal(38,0)") * F.col("most") < F.col("target"))
+        """Each build's sources: shards, tokens, target, most repeats. Sums are decimal, so that no number of tokens overflows."""
+        x = F.col("x").cast(WIDE)
+        return self.shards.groupBy("build_id", "source").agg(F.count("*").alias("shards"), F.sum(x).cast(WIDE).alias("tokens"), F.min(F.when(F.col("x") > 0, F.col("x"))).alias("xmin"), F.count_if(F.col("x") > 0).alias("full"), F.max("target").alias("target"), F.max("most").alias("most"))
+
+    def _tilted(self, m) -> tuple:
+        """The rate at a multiplier, and whether it is below the cap."""
+        tilt = F.exp(F.least(F.lit(BIG), m * F.col("x") / F.col("mean")))
+        most = F.col("most").cast("double")
+        return F.least(most, tilt), tilt < most
+
+    def bracket(self) -> DataFrame:
+        """Of every build and source with a target: a bracket ``lo``, ``hi`` of the dual's multiplier, a start ``m``, and ``rootless``.
+
+        At ``hi`` every rate is at the cap; a source whose constraint is not
+        met there has no root. Where the two differ by less than rounding may
+        do, the exact comparison of whole numbers decides.
+        """
+        tokens = F.col("tokens").cast("double")
+        mean = F.when(F.col("full") > 0, tokens / F.col("full"))
+        ratio = F.when(tokens > 0, F.col("target") / tokens)
+        reach = F.log(F.col("most").cast("double")) * mean / F.col("xmin")
+        open_ = self.setup().where("target > 0").select(
+            "build_id", "source", "target", "most", mean.alias("mean"), F.log(ratio).alias("m"), F.least(F.lit(0.0), F.log(ratio) * mean / F.col("xmin")).alias("lo"), F.greatest(F.lit(0.0), reach).alias("hi"),
+            (F.col("tokens") * F.col("most").cast("decimal(10,0)") < F.col("target").cast(WIDE)).alias("less"),
+        )
+        at_cap = self.shards.where("x > 0").select("build_id", "source", F.col("x").cast("double").alias("x")).join(open_.select("build_id", "source", "most", "mean", "hi"), ["build_id", "source"])
+        at_cap = at_cap.groupBy("build_id", "source").agg(F.sum(F.col("x") * self._tilted(F.col("hi"))[0]).alias("g"))
+        over = F.coalesce("g", F.lit(0.0)) / F.col("target") - 1
+        rootless = F.when(F.abs(over) < CLOSE, F.col("less")).otherwise(over < 0)
+        return open_.join(at_cap, ["build_id", "source"], "left").withColumn("rootless", rootless).drop("g", "less")
 
     def multipliers(self) -> DataFrame:
-        """build_id, source, the dual's solution ``m`` and whether it is ``converged``; no row where a source falls short or needs nothing."""
-        big = 700.0  # exp of more is no finite number
-        mean = F.col("tokens") / F.col("full")
-        ratio = F.col("target") / F.col("tokens")
-        # the target lies between all rates at exp(lo * x / mean) and all at the most
-        open_ = self.setup().where("NOT short AND target > 0").select(
-            "build_id", "source", "target", "most", mean.alias("mean"), F.log(ratio).alias("m"),
-            F.least(F.lit(0.0), F.log(ratio) * mean / F.col("xmin")).alias("lo"), F.greatest(F.lit(0.0), F.log(F.col("most").cast("double")) * mean / F.col("xmin")).alias("hi"),
-        )
-        state = cut(open_.withColumn("m", F.greatest("lo", F.least("hi", "m"))).withColumn("off", F.lit(math.inf)))
+        """build_id, source, ``rootless``, the dual's solution ``m`` (with ``mean``) and whether it is ``converged``; of every source with a target.
+
+        Where the dual has no root, ``m`` and ``converged`` are null.
+        """
+        start = cut(self.bracket())
+        state = start.where("NOT rootless").drop("rootless").withColumn("m", F.greatest("lo", F.least("hi", "m"))).withColumn("off", F.lit(math.inf))
         shards = self.shards.where("x > 0").select("build_id", "source", F.col("x").cast("double").alias("x"))  # squares of token counts pass 64 bits
         for k in range(1, ITERATIONS + 1):
-            z = F.least(F.lit(big), F.col("m") * F.col("x") / F.col("mean"))
-            w = F.least(F.col("most").cast("double"), F.exp(z))
-            free = F.exp(z) < F.col("most")
+            w, free = self._tilted(F.col("m"))
             # state stands in the plan once, so that it grows by one join an iteration
             sums = shards.join(state, ["build_id", "source"]).groupBy(*state.columns).agg(
                 F.sum(F.col("x") * w).alias("g"), F.sum(F.when(free, F.col("x") * (F.col("x") / F.col("mean")) * w).otherwise(0.0)).alias("h"))
             err = F.col("g") - F.col("target")
             lo, hi = F.when(err < 0, F.col("m")).otherwise(F.col("lo")), F.when(err > 0, F.col("m")).otherwise(F.col("hi"))
-            step = F.col("m") - err / F.when(F.col("h") > 0, F.col("h"))
+            # Newton on the logarithm of the constraint, which is nearly a line in m
+            step = F.col("m") - F.log(F.col("g") / F.col("target")) * F.col("g") / F.when(F.col("h") > 0, F.col("h"))
             inside = F.when((step > lo) & (step < hi), step).otherwise((lo + hi) / 2)
             off = F.abs(err) / F.col("target")
             state = sums.select("build_id", "source", "target", "most", "mean", F.when(off <= CLOSE, F.col("m")).otherwise(inside).alias("m"), lo.alias("lo"), hi.alias("hi"), off.alias("off"))
@@ -96,17 +123,16 @@ class Mixture:
                 state = cut(state)
                 if state.where(F.col("off") > CLOSE).isEmpty():
                     break
-        return state.select("build_id", "source", "m", "mean", (F.col("off") <= CLOSE).alias("converged"))
+        solved = state.select("build_id", "source", "m", (F.col("off") <= CLOSE).alias("converged"))
+        return start.select("build_id", "source", "rootless", "mean").join(solved, ["build_id", "source"], "left")
 
     def copies(self) -> DataFrame:
-        """build_id, source, shard, tokens, rate, copies of every valid shard; ``converged``, whether the rate solves the dual, null where it has none."""
-        known = self.setup().select("build_id", "source", "short")
+        """build_id, source, shard, tokens, rate, copies of every valid shard; ``converged``, whether the rate solves the dual, null where it has no root; ``rootless``."""
         m = self.multipliers()
-        tilt = F.exp(F.least(F.lit(700.0), F.col("m") * F.col("x") / F.col("mean")))
-        rate = F.when(F.col("short"), F.col("most").cast("double")).when((F.col("x") > 0) & F.col("m").isNotNull(), F.least(F.col("most").cast("double"), tilt)).otherwise(F.lit(0.0))
-        rated = self.shards.join(known, ["build_id", "source"]).join(m, ["build_id", "source"], "left").withColumn("rate", rate)
+        rate = F.when(F.col("rootless"), F.col("most").cast("double")).when((F.col("x") > 0) & F.col("m").isNotNull(), self._tilted(F.col("m"))[0]).otherwise(F.lit(0.0))
+        rated = self.shards.join(m, ["build_id", "source"], "left").withColumn("rate", rate)
         part = F.pmod(F.xxhash64("build_id", "source", "shard"), F.lit(PARTS))
-        rated = rated.select("build_id", "source", "shard", "x", "rate", "converged", part.alias("part"))
+        rated = rated.select("build_id", "source", "shard", "x", "rate", "converged", F.coalesce("rootless", F.lit(False)).alias("rootless"), part.alias("part"))
         # systematic rounding: a copy for each whole number that the running sum of rates passes, sums in two levels
         sums = rated.groupBy("build_id", "source", "part").agg(F.sum(F.round("rate", 9)).alias("s"))
         before = F.coalesce(F.sum("s").over(Window.partitionBy("build_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -114,31 +140,28 @@ class Mixture:
         run = rated.withColumn("here", here).join(sums.select("build_id", "source", "part", before.alias("before")), ["build_id", "source", "part"])
         to = F.round(F.col("before") + F.col("here"), 6)
         since = F.round(F.col("before") + F.col("here") - F.round("rate", 9), 6)
-        return run.select("build_id", "source", "shard", F.col("x").alias("tokens"), "rate", (F.floor(to + 0.5) - F.floor(since + 0.5)).cast("int").alias("copies"), "converged")
+        return run.select("build_id", "source", "shard", F.col("x").alias("tokens"), "rate", (F.floor(to + 0.5) - F.floor(since + 0.5)).cast("int").alias("copies"), "converged", "rootless")
 
     def report(self) -> DataFrame:
         """Of each build and source: tokens there are, target share, repeats, tokens mixed, real share, whether it falls short, whether its rates converged.
 
         ``repeats`` is the mixed tokens (by rate) in multiples of those there
         are, 0 for a source without tokens; ``real_share`` is of the whole
-        copies, of all sources of the build. ``falls_short`` is the exact
-        comparison of whole numbers; ``converged`` is null where it, or a target
-        of 0, leaves no dual to solve, and false where the iterations ended
-        before the rates met the target.
+        copies, of all sources of the build. ``falls_short``: the dual has no
+        root. ``converged`` is null where that, or a target of 0, leaves nothing
+        to solve, and false where the iterations ended before the rates met the
+        target.
         """
-        mixed = self.copies().groupBy("build_id", "source").agg(F.sum(F.col("tokens") * F.col("rate")).alias("rated"), F.sum(F.col("tokens") * F.col("copies")).alias("mixed"), F.min("converged").alias("converged"))
+        mixed = self.copies().groupBy("build_id", "source").agg(
+            F.sum(F.col("tokens") * F.col("rate")).alias("rated"), F.sum(F.col("tokens").cast(WIDE) * F.col("copies")).cast(WIDE).alias("mixed"), F.min("converged").alias("converged"), F.max("rootless").alias("falls_short"))
         of = Window.partitionBy("build_id")
+        share = lambda c: F.col(c) / F.greatest(F.lit(1.0), F.sum(F.col(c).cast("double")).over(of))
         return self.setup().join(mixed, ["build_id", "source"]).select(
-            "build_id", "source", F.col("tokens").alias("train_tokens"), F.col("target").alias("token_budget"),
-            (F.col("target") / F.greatest(F.lit(1), F.sum("target").over(of))).alias("target_share"),
-            F.when(F.col("tokens") > 0, F.col("rated") / F.col("tokens")).otherwise(F.lit(0.0)).alias("repeats"),
-            F.col("mixed").alias("mixed_tokens"), (F.col("mixed") / F.greatest(F.lit(1), F.sum("mixed").over(of))).alias("real_share"), F.col("short").alias("falls_short"), "converged",
+            "build_id", "source", F.col("tokens").alias("train_tokens"), F.col("target").alias("token_budget"), share("target").alias("target_share"),
+            F.when(F.col("tokens") > 0, F.col("rated") / F.col("tokens").cast("double")).otherwise(F.lit(0.0)).alias("repeats"),
+            F.col("mixed").alias("mixed_tokens"), share("mixed").alias("real_share"), "falls_short", "converged",
         )
 
     def short(self) -> DataFrame:
-        """build_id, source of the sources of the solved mix whose dual has no solution.
-
-        They have the most repeats and still miss their target; the comparison
-        of whole numbers decides, so no rounding of rates does.
-        """
+        """build_id, source of the sources of the solved mix whose dual has no root: they have the most repeats and still miss their target."""
         return self.report().where("falls_short").select("build_id", "source")

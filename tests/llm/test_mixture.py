@@ -46,9 +46,26 @@ def test_short_sources_come_from_the_solved_mix_and_unconverged_ones_are_named(s
     assert {x.source: x.converged for x in m.report().collect()} == {"a": False, "tiny": None}
 
 
-def test_large_token_counts_are_solved(spark):
-    m = mix(spark, [(1, "a", k, 5 * 10**9 * (k + 1), 1) for k in range(4)], [("a", 10**11, 3)])
-    assert [(x.falls_short, x.converged) for x in m.report().collect()] == [(False, True)]
+def test_short_sources_change_with_the_dual(spark):
+    from pyspark.sql import functions as F
+
+    m = mix(spark, [(1, "a", 0, 100, 1), (1, "tiny", 0, 10, 1)], [("a", 150, 3), ("tiny", 1000, 6)])
+    solve = m.multipliers
+    m.multipliers = lambda: solve().withColumn("rootless", F.col("source") == "a")
+    assert [tuple(x) for x in m.short().collect()] == [(1, "a")]
+
+
+@pytest.mark.parametrize(("budget", "short"), [(10**11, False), (3 * 5 * 10**10, False), (3 * 5 * 10**10 + 1, True)])
+def test_large_token_counts_are_solved(spark, budget, short):
+    """Shards of 1e10 tokens; a target that the cap meets to the token is met, one token more isn't."""
+    m = mix(spark, [(1, "a", k, 5 * 10**9 * (k + 1), 1) for k in range(4)], [("a", budget, 3)])
+    assert [(x.falls_short, x.converged) for x in m.report().collect()] == [(short, None if short else True)]
+
+
+def test_sums_beyond_64_bits(spark):
+    m = mix(spark, [(1, "a", k, 8 * 10**18, 1) for k in range(4)], [("a", 9 * 10**18, 3)])
+    r = m.report().collect()[0]
+    assert (r.falls_short, r.converged, int(r.train_tokens)) == (False, True, 32 * 10**18) and r.repeats == pytest.approx(9 / 32, rel=1e-5)
 
 
 def test_rows_that_count(spark):
