@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 # White space and line breaks.
 SPACE = r"[\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NOSPACE = r"[^\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+NOBLANK = SPACE.replace(r"\x1f ", r"\x1f")
 BREAK = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 # The same for RE2, which DuckDB uses.
 SPACE_SQL = SPACE.replace(r"\u", "\\u").replace(r"\x85", r"\x{85}").replace(r"\xa0", r"\x{a0}")
@@ -27,8 +28,8 @@ def text_of(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, SPACE + "+", " "))
+    """Runs of white space become one blank; none at the ends. Single blanks, the usual case, are left where they are."""
+    return F.trim(F.regexp_replace(c, f"{SPACE}{{2,}}|{NOBLANK}", " "))
 
 
 def lines(c: Column) -> Column:
@@ -38,14 +39,14 @@ def lines(c: Column) -> Column:
 def nonalnum_ratio(line: Column) -> Column:
     """Share of characters that are no ASCII letter or digit; 1 for an empty line."""
     n = F.length(line)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.length(F.regexp_replace(line, "[^A-Za-z0-9]", "")) / n)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.length(F.regexp_replace(line, "[^A-Za-z0-9]+", "")) / n)
 
 
 def ascii_ratio(c: Column, chars: int = 5000) -> Column:
     """Share of ASCII among the first ``chars`` characters; 0 for an empty text."""
     s = F.substring(c, 1, chars)
     n = F.length(s)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.length(F.regexp_replace(s, r"[^\x00-\x7F]", "")) / n)
+    return F.when(n == 0, F.lit(0.0)).when(F.octet_length(s) == n, F.lit(1.0)).otherwise(F.length(F.regexp_replace(s, r"[^\x00-\x7F]+", "")) / n)
 
 
 def normalize(c: Column) -> Column:
@@ -84,26 +85,49 @@ def let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def repetition_ratio(w: Column, n: int = 4, top: int = 10) -> Column:
-    """Share of the ``top`` most frequent n-grams in all; 0 of fewer than 2n words.
+def gram_hashes(w: Column, n: int, short: str = "none") -> Column:
+    """As ``grams``, each as a hash of 64 bits, made without its text."""
 
-    Counted exactly in the row, so nothing is shuffled. Grams are only compared
-    one by one where few enough differ that the share can exceed a half;
-    elsewhere the bound of the share is given, which is no more than a half.
-    """
+    def of(v: Column) -> Column:
+        k = F.size(v)
+        full = F.transform(F.sequence(F.lit(0), F.greatest(k - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(v, i + j) for j in range(n)]))
+        one = F.array(F.xxhash64(F.lit("whole"), F.array_join(v, " "))) if short == "whole" else F.array().cast("array<bigint>")
+        return F.when(k >= n, full).when(k > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    def share(g: Column) -> Column:
-        def of(d: Column) -> Column:
-            bound = F.size(g) - F.size(d) + F.least(F.lit(top), F.size(d))  # the mass when every repeat falls on the top grams
-            counts = F.transform(d, lambda x: F.size(F.filter(g, lambda y: y == x)))
-            mass = F.aggregate(F.slice(F.reverse(F.array_sort(counts)), 1, top), F.lit(0), lambda a, x: a + x)
-            return F.when(bound * 2 > F.size(g), mass).otherwise(bound) / F.size(g)
+    return let(w, of)
+
+
+def run_lengths(c: Column) -> Column:
+    """How often each element occurs in an array, by sorting it: no element is compared with all others."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda x: F.zip_with(x, F.concat(F.slice(x, 2, F.size(x)), F.array(n)), lambda a, b: b - a))
 
-        return let(F.array_distinct(g), of)
+    return F.when(F.size(c) == 0, F.array().cast("array<int>")).otherwise(let(F.sort_array(c), of))
+
+
+def repetition_ratio(w: Column, n: int = 4, top: int = 10) -> Column:
+    """Share of the ``top`` most frequent n-grams in all; 0 of fewer than 2n words. Counted exactly in the row, so nothing is shuffled."""
+
+    def share(g: Column) -> Column:
+        counts = F.slice(F.sort_array(run_lengths(g), asc=False), 1, top)
+        return F.aggregate(counts, F.lit(0), lambda a, x: a + x) / F.size(g)
 
     return let(w, lambda v: F.when(F.size(v) < 2 * n, F.lit(0.0)).otherwise(let(grams(v, n), share)))
 
 
+def is_repetitive(w: Column, most: float, n: int = 4, top: int = 10) -> Column:
+    """Whether ``repetition_ratio`` is above ``most``.
+
+    Most texts have so many different n-grams that their ``top`` can't reach
+    that share wherever the repeats fall; only of the others is it counted.
+    """
+    can = lambda v: let(gram_hashes(v, n), lambda g: F.size(g) - F.size(F.array_distinct(g)) + top > F.size(g) * most)
+    return let(w, lambda v: F.when(F.size(v) < 2 * n, F.lit(False)).otherwise(F.when(can(v), repetition_ratio(v, n, top) > most).otherwise(False)))
+
+
 def proxy_tokens(chars: Column) -> Column:
     """Tokens estimated from characters, four to one."""
     return F.floor(chars / F.lit(4.0)).cast("bigint")

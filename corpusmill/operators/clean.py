@@ -25,14 +25,31 @@ BOILERPLATE = (
 )
 
 
-def filter_lines(c: Column) -> Column:
+_LEAD = r"^\s*"
+#: One pattern with a single anchor, so that a line is looked at once, not at each place for each form.
+_BOILERPLATE = f"(?i){_LEAD}(?:" + "|".join(p.removeprefix(_LEAD) for p in BOILERPLATE) + ")"
+
+
+def kept_lines(c: Column) -> Column:
     """Collapsed lines that are long enough and not mostly signs."""
-    kept = F.filter(F.transform(T.lines(c), T.collapse), lambda x: (F.length(x) >= LINE_CHARS) & (T.nonalnum_ratio(x) <= LINE_NONALNUM))
-    return F.array_join(kept, "\n")
+    return F.filter(F.transform(T.lines(c), T.collapse), lambda x: (F.length(x) >= LINE_CHARS) & (T.nonalnum_ratio(x) <= LINE_NONALNUM))
+
+
+def filter_lines(c: Column) -> Column:
+    return F.array_join(kept_lines(c), "\n")
+
+
+def is_boilerplate(line: Column) -> Column:
+    return line.rlike(_BOILERPLATE)
 
 
 def strip_boilerplate(c: Column) -> Column:
-    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~T.fits_any(x, BOILERPLATE)), "\n")
+    return F.array_join(F.filter(F.split(c, "\n"), lambda x: ~is_boilerplate(x)), "\n")
+
+
+def cleaned(c: Column) -> Column:
+    """Both line rules in one pass over the lines."""
+    return F.array_join(F.filter(kept_lines(c), lambda x: ~is_boilerplate(x)), "\n")
 
 
 def is_english(c: Column, detector: Callable[[Column], Column] | None = None) -> Column:
@@ -64,16 +81,17 @@ def nonword_ratios(df: DataFrame, key: str, text: Column, dictionary: DataFrame,
 def disposition(df: DataFrame, text: str = "text", detector: Callable[[Column], Column] | None = None, ocr: Column | None = None) -> DataFrame:
     """``df`` with ``reason``, ``kept``, ``clean_text`` (empty where dropped), ``raw_chars`` and ``clean_chars``.
 
-    ``ocr``: a boolean column of documents that fail the dictionary rule.
-    The order of the rules is part of the result. Nothing is shuffled.
+    ``ocr``: a boolean column of documents that fail the dictionary rule (see
+    ``with_ocr``). The order of the rules is part of the result. Nothing is
+    shuffled.
     """
     raw = T.text_of(F.col(text))
-    out = df.withColumn("_clean", strip_boilerplate(filter_lines(raw)))
+    out = df.withColumn("_clean", cleaned(raw))
     c = F.col("_clean")
     # one value each, so that no rule computes the cleaned text again
     reason = (
         F.when(F.length(c) < DOC_CHARS, "too_short")
-        .when(T.repetition_ratio(T.tokens(c)) > REPETITION, "repetitive")
+        .when(T.is_repetitive(F.split(c, "[ \n]"), REPETITION), "repetitive")  # what is left has no other white space
         .when(~is_english(c, detector), "non_english")
     )
     if ocr is not None:
@@ -83,6 +101,20 @@ def disposition(df: DataFrame, text: str = "text", detector: Callable[[Column],
     return out.withColumns({"kept": kept, "clean_text": F.when(kept, c).otherwise(""), "raw_chars": F.length(raw), "clean_chars": F.length(c)}).drop("_clean")
 
 
+def with_ocr(df: DataFrame, key: str, text: str, strict: str, dictionary: DataFrame, detector: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``disposition`` with the dictionary rule where the boolean column ``strict`` is true (null: not).
+
+    Only documents that pass the rules before it are looked up, by their
+    cleaned text. ``key`` must be unique and not null.
+    """
+    first = disposition(df, text, detector)
+    passed = first.where(F.col("kept") & F.coalesce(strict, F.lit(False))).select(F.col(key).alias("_key"), "clean_text")
+    bad = nonword_ratios(passed, "_key", F.col("clean_text"), dictionary).where(F.col("ratio") > OCR_RATIO).select(F.col("_key").alias(key), F.lit(True).alias("_ocr"))
+    ocr = F.col("kept") & F.coalesce("_ocr", F.lit(False))
+    out = first.join(bad, key, "left").withColumns({"reason": F.when(ocr, "ocr").otherwise(F.col("reason")), "clean_text": F.when(ocr, "").otherwise(F.col("clean_text")), "kept": F.col("kept") & ~ocr})
+    return out.drop("_ocr")
+
+
 def budget_cut(df: DataFrame, by: list[str], order: str, chars: str, cap_tokens: Column) -> DataFrame:
     """Rows up to and with the one that fills the cap of estimated tokens, in ``order``, for each shard ``by``."""
     before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

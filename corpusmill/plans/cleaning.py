@@ -43,10 +43,19 @@ def line_filter(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", n.cast("bigint").alias("n_lines"), F.length(c).cast("bigint").alias("chars"), F.md5(c).alias("hash"))
 
 
-@query(rf"WITH {_LINES} SELECT doc_id, len(list_filter(ls, lambda l: regexp_matches(l, '{_BOILER}')))::BIGINT AS boilerplate FROM kept_lines")
+# A line of each form; the tables hold none, so each text gets one before it and one behind.
+_FORMS = ("Form 10-K annual report", "page 3 of 17", "Table of  Contents", "/s/ J. Name", "All rights reserved by the issuer", "United States Securities and Exchange Commission", "Securities and Exchange Commission", "Washington, D.C. 20549", "[ x ]", "the form 10-K of the year", "page three of nine")
+_FORM_SQL = "['" + "', '".join(_FORMS) + f"'][(doc_id + {{}}) % {len(_FORMS)} + 1]"
+_FRAMED = rf"framed AS (SELECT doc_id, {_FORM_SQL.format(0)} || chr(10) || coalesce(text, '') || chr(10) || {_FORM_SQL.format(4)} AS t FROM documents), fl AS (SELECT doc_id, regexp_split_to_array(t, chr(10)) AS ls FROM framed)"
+
+
+@query(rf"WITH {_FRAMED} SELECT doc_id, len(list_filter(ls, lambda l: regexp_matches(l, '{_BOILER}')))::BIGINT AS boilerplate, md5(array_to_string(list_filter(ls, lambda l: NOT regexp_matches(l, '{_BOILER}')), chr(10))) AS hash FROM fl")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    ls = F.split(clean.filter_lines(T.text_of(F.col("text"))), "\n")
-    return _docs(spark, d).select("doc_id", F.size(F.filter(ls, lambda x: T.fits_any(x, clean.BOILERPLATE))).cast("bigint").alias("boilerplate"))
+    """Form lines of each text and the hash of what is left without them."""
+    form = lambda k: F.element_at(F.array(*map(F.lit, _FORMS)), ((F.col("doc_id") + k) % len(_FORMS) + 1).cast("int"))
+    t = F.concat(form(0), F.lit("\n"), T.text_of(F.col("text")), F.lit("\n"), form(4))
+    framed = _docs(spark, d).select("doc_id", t.alias("t"))
+    return framed.select("doc_id", F.size(F.filter(F.split("t", "\n"), clean.is_boilerplate)).cast("bigint").alias("boilerplate"), F.md5(clean.strip_boilerplate(F.col("t"))).alias("hash"))
 
 
 @query(rf"WITH {_LINES}, one AS (SELECT doc_id, unnest(regexp_split_to_array(raw, '{_BR}')) AS l FROM docs) SELECT doc_id, count(*) AS n_lines, round(max(CASE WHEN length(l) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - length(regexp_replace(l, '[^A-Za-z0-9]', '', 'g'))::DOUBLE / length(l) END), 6) AS worst FROM one GROUP BY doc_id")
@@ -56,11 +65,11 @@ def line_nonalnum(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.size(ls).cast("bigint").alias("n_lines"), F.round(F.array_max(F.transform(ls, T.nonalnum_ratio)), 6).alias("worst"))
 
 
-@query(rf"WITH {_CLEAN} SELECT doc_id, round(coalesce(rep.ratio, 0), 6)::DOUBLE AS ratio, coalesce(rep.ratio, 0) > 0.5 AS repetitive FROM toks LEFT JOIN rep USING (doc_id) WHERE coalesce(rep.ratio, 0) > 0.5")
+@query(rf"WITH {_CLEAN} SELECT doc_id, round(coalesce(rep.ratio, 0), 6)::DOUBLE AS ratio, coalesce(rep.ratio, 0) > 0.5 AS repetitive FROM toks LEFT JOIN rep USING (doc_id)")
 def repetition_ratio(spark: SparkSession, d: str) -> DataFrame:
-    """Repetitive documents and the share of their ten commonest 4-grams."""
-    r = T.repetition_ratio(T.tokens(clean.strip_boilerplate(clean.filter_lines(T.text_of(F.col("text"))))))
-    return _docs(spark, d).select("doc_id", F.round(r, 6).alias("ratio"), (r > clean.REPETITION).alias("repetitive")).where("repetitive")
+    """Each document's share of its ten commonest 4-grams."""
+    r = T.repetition_ratio(T.tokens(clean.cleaned(T.text_of(F.col("text")))))
+    return _docs(spark, d).select("doc_id", r.alias("r")).select("doc_id", F.round("r", 6).alias("ratio"), (F.col("r") > clean.REPETITION).alias("repetitive"))
 
 
 @query("SELECT doc_id, round(CASE WHEN coalesce(text, '') = '' THEN 0.0::DOUBLE ELSE length(regexp_replace(substring(text, 1, 5000), '[^\\x00-\\x7F]', '', 'g'))::DOUBLE / length(substring(text, 1, 5000)) END, 6) AS ratio FROM documents")
@@ -70,7 +79,7 @@ def ascii_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"WITH {_CLEAN} SELECT lang, count(*) AS docs, count(*) FILTER (a >= 0.99) AS sure, count(*) FILTER (a >= 0.90 AND a < 0.99) AS doubtful, count(*) FILTER (a >= 0.99 OR (a >= 0.90 AND a > 0.95)) AS english FROM asc_ JOIN cleaned USING (doc_id) GROUP BY lang")
 def language_gate(spark: SparkSession, d: str) -> DataFrame:
-    c = clean.strip_boilerplate(clean.filter_lines(T.text_of(F.col("text"))))
+    c = clean.cleaned(T.text_of(F.col("text")))
     r = _docs(spark, d).select("lang", T.ascii_ratio(c).alias("a"), clean.is_english(c).alias("e"))
     return r.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("a") >= 0.99).alias("sure"), F.count_if((F.col("a") >= 0.90) & (F.col("a") < 0.99)).alias("doubtful"), F.count_if("e").alias("english"))
 
@@ -81,6 +90,26 @@ def clean_disposition(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", "source", "reason", F.col("raw_chars").cast("bigint"), F.col("clean_chars").cast("bigint"), F.md5("clean_text").alias("hash"))
 
 
+_DICT = "dict AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}')) AS w FROM passage))"
+
+
+def _dictionary(spark: SparkSession, d: str) -> DataFrame:
+    """The passages' words stand for a word list."""
+    return table(spark, d, "passage").select(F.explode(F.regexp_extract_all(T.text_of(F.col("text")), F.lit("([A-Za-z]{3,})"), F.lit(1))).alias("word"))
+
+
+@query(rf"""WITH {_CLEAN}, {_DICT}, cw AS (SELECT doc_id, lower(unnest(regexp_extract_all(c, '[A-Za-z]{{3,}}'))) AS w FROM reasoned WHERE reason = 'kept'),
+bad AS (SELECT doc_id FROM cw LEFT JOIN dict USING (w) GROUP BY doc_id HAVING count(*) >= 50 AND count(*) FILTER (dict.w IS NULL)::DOUBLE / count(*) > 0.2),
+x AS (SELECT r.*, reason = 'kept' AND coalesce(s.strict_ocr, false) AND b.doc_id IS NOT NULL AS ocr FROM reasoned r LEFT JOIN source_config s ON r.source = s.name LEFT JOIN bad b ON r.doc_id = b.doc_id)
+SELECT doc_id, CASE WHEN ocr THEN 'ocr' ELSE reason END AS reason, length(c)::BIGINT AS clean_chars, md5(CASE WHEN reason = 'kept' AND NOT ocr THEN c ELSE '' END) AS hash FROM x""")
+def strict_disposition(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain, the dictionary rule in it for the sources that ask for it."""
+    s = table(spark, d, "source_config").select(F.col("name").alias("source"), "strict_ocr")
+    docs = _docs(spark, d).select("doc_id", "source", "text").join(s, "source", "left")
+    r = clean.with_ocr(docs, "doc_id", "text", "strict_ocr", _dictionary(spark, d))
+    return r.select("doc_id", "reason", F.col("clean_chars").cast("bigint"), F.md5("clean_text").alias("hash"))
+
+
 _REPORT = "count(*) AS streamed, count(*) FILTER (reason = 'kept') AS kept, coalesce(sum(length(c)) FILTER (reason = 'kept'), 0)::BIGINT // 4 AS est_tokens, count(*) FILTER (reason = 'too_short') AS too_short, count(*) FILTER (reason = 'repetitive') AS repetitive, count(*) FILTER (reason = 'non_english') AS non_english"
 
 
@@ -129,14 +158,12 @@ def smoke_summary(spark: SparkSession, d: str) -> DataFrame:
     return clean.disposition(head_of(_docs(spark, d).select("doc_id", "source", "text"), "source", "doc_id", 10)).groupBy("source").agg(*_report())
 
 
-_DICT = "dict AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{3,}')) AS w FROM passage))"
 _OCR = rf"""{_DICT}, tk AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]{{3,}}'))) AS w FROM documents),
 ratios AS (SELECT doc_id, count(*) AS tokens, count(*) FILTER (dict.w IS NULL) AS unknown FROM tk LEFT JOIN dict USING (w) GROUP BY doc_id)"""
 
 
 def _ratios(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "passage").select(F.explode(F.regexp_extract_all(T.text_of(F.col("text")), F.lit("([A-Za-z]{3,})"), F.lit(1))).alias("word"))
-    return clean.nonword_ratios(_docs(spark, d), "doc_id", F.col("text"), p)
+    return clean.nonword_ratios(_docs(spark, d), "doc_id", F.col("text"), _dictionary(spark, d))
 
 
 @query(rf"WITH {_OCR} SELECT documents.doc_id, coalesce(tokens, 0)::BIGINT AS tokens, CASE WHEN coalesce(tokens, 0) < 50 THEN 0.0::DOUBLE ELSE round(unknown::DOUBLE / tokens, 6) END AS ratio FROM documents LEFT JOIN ratios USING (doc_id)")

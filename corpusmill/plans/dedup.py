@@ -98,24 +98,29 @@ def minhash_lsh_dropped(spark: SparkSession, d: str) -> DataFrame:
     return dedup.greedy_drop(dedup.lsh_pairs(dedup.signatures(court, "doc_id", "text"))).select(F.col("lo").alias("doc_id"))
 
 
-_FATE = f"""{_BAD}, near AS (SELECT DISTINCT b AS doc_id FROM pairs), r AS (SELECT d.doc_id, d.source, {_NORM} AS h, n.doc_id IS NOT NULL AS is_near, b.doc_id IS NOT NULL AS is_bad FROM documents d LEFT JOIN near n USING (doc_id) LEFT JOIN bad b USING (doc_id)),
-f AS (SELECT *, CASE WHEN NOT is_near AND NOT is_bad THEN row_number() OVER (PARTITION BY source, h, is_near OR is_bad ORDER BY doc_id) END AS n FROM r),
-fate AS (SELECT doc_id, source, CASE WHEN is_near THEN 'near_dup' WHEN is_bad THEN 'contaminated' WHEN n > 1 THEN 'exact_dup' ELSE 'kept' END AS fate FROM f)"""
+#: Written from the sequential rule: court texts in order of ids, each compared with the kept ones before it, copies among them.
+_FATE = rf"""{_BAD}, d AS (SELECT doc_id, source, text, {_NORM} AS h, {_W} AS w FROM documents WHERE length(text) > 0),
+ct AS (SELECT doc_id AS v, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct({_grams(5)}) END AS s FROM d WHERE source LIKE 'case-law%'),
+cg AS (SELECT v, len(s) AS n, unnest(s) AS g FROM ct),
+alike AS (SELECT a.v AS a, b.v AS b FROM cg a JOIN cg b ON a.g = b.g AND a.v < b.v GROUP BY 1, 2 HAVING round(count(*)::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)), 6) >= 0.8 UNION ALL SELECT a.v, b.v FROM ct a JOIN ct b ON len(a.s) = 0 AND len(b.s) = 0 AND a.v < b.v),
+turn AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT a AS v FROM alike UNION SELECT b FROM alike)),
+pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT t.i, CASE WHEN EXISTS (SELECT 1 FROM alike x WHERE x.b = t.v AND list_contains(p.kept, x.a)) THEN p.kept ELSE list_append(p.kept, t.v) END FROM pass p JOIN turn t ON t.i = p.i + 1),
+near AS (SELECT v AS doc_id FROM turn WHERE NOT list_contains((SELECT kept FROM pass ORDER BY i DESC LIMIT 1), v)),
+left_ AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS n, doc_id IN (SELECT doc_id FROM bad) AND (source LIKE 'case-law%' OR source LIKE 'sec%') AS c FROM d WHERE doc_id NOT IN (SELECT doc_id FROM near)),
+fate AS (SELECT doc_id, source, 'near_dup' AS fate FROM d WHERE doc_id IN (SELECT doc_id FROM near) UNION ALL SELECT doc_id, source, CASE WHEN c THEN 'contaminated' WHEN n > 1 THEN 'exact_dup' ELSE 'kept' END FROM left_)"""
 
 
 def _fates(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    near = dedup.jaccard_pairs(docs, "doc_id", "text").select("b")
-    bad = dedup.holding(docs, "doc_id", "text", _held(spark, d))
-    return dedup.fates(docs, "doc_id", "text", "source", near, bad)
+    scope = lambda names: F.col("source").rlike(f"^({names})")
+    return dedup.fates(_docs(spark, d), "doc_id", "text", "source", _held(spark, d), scope(NEAR_SOURCES), scope(BAD_SOURCES))
 
 
-@query(f"WITH {_SETS}, {_FATE} SELECT doc_id, source, fate FROM fate")
+@query(f"WITH RECURSIVE {_FATE} SELECT doc_id, source, fate FROM fate")
 def corpus_disposition(spark: SparkSession, d: str) -> DataFrame:
     return _fates(spark, d)
 
 
-@query(f"WITH {_SETS}, {_FATE} SELECT source, count(*) AS docs, count(*) FILTER (fate = 'kept') AS kept, count(*) FILTER (fate = 'near_dup') AS near_dup, count(*) FILTER (fate = 'exact_dup') AS exact_dup, count(*) FILTER (fate = 'contaminated') AS contaminated, coalesce(sum(length(text)) FILTER (fate = 'kept'), 0)::BIGINT // 4 AS est_tokens FROM fate JOIN documents USING (doc_id, source) GROUP BY source")
+@query(f"WITH RECURSIVE {_FATE} SELECT source, count(*) AS docs, count(*) FILTER (fate = 'kept') AS kept, count(*) FILTER (fate = 'near_dup') AS near_dup, count(*) FILTER (fate = 'exact_dup') AS exact_dup, count(*) FILTER (fate = 'contaminated') AS contaminated, coalesce(sum(length(text)) FILTER (fate = 'kept'), 0)::BIGINT // 4 AS est_tokens FROM fate JOIN documents USING (doc_id, source) GROUP BY source")
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars"))
     is_ = lambda k: F.count_if(F.col("fate") == k).alias(k)
@@ -123,7 +128,7 @@ def corpus_report(spark: SparkSession, d: str) -> DataFrame:
     return _fates(spark, d).join(sizes, "doc_id").groupBy("source").agg(F.count("*").alias("docs"), is_("kept"), is_("near_dup"), is_("exact_dup"), is_("contaminated"), tokens.alias("est_tokens"))
 
 
-@query(f"WITH {_SETS}, {_FATE}, n AS (SELECT count(*) AS docs, count(*) FILTER (fate <> 'near_dup') AS a, count(*) FILTER (fate NOT IN ('near_dup', 'contaminated')) AS b, count(*) FILTER (fate = 'kept') AS c FROM fate) SELECT * FROM (SELECT 1 AS step, 'near_dup' AS stage, docs AS rows_in, a AS rows_out FROM n UNION ALL SELECT 2, 'contaminated', a, b FROM n UNION ALL SELECT 3, 'exact_dup', b, c FROM n)")
+@query(f"WITH RECURSIVE {_FATE}, n AS (SELECT count(*) AS docs, count(*) FILTER (fate <> 'near_dup') AS a, count(*) FILTER (fate NOT IN ('near_dup', 'contaminated')) AS b, count(*) FILTER (fate = 'kept') AS c FROM fate) SELECT * FROM (SELECT 1 AS step, 'near_dup' AS stage, docs AS rows_in, a AS rows_out FROM n UNION ALL SELECT 2, 'contaminated', a, b FROM n UNION ALL SELECT 3, 'exact_dup', b, c FROM n)")
 def attrition(spark: SparkSession, d: str) -> DataFrame:
     """Rows in and out of each stage, of one aggregation."""
     f = F.col("fate")
@@ -132,11 +137,17 @@ def attrition(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.inline(rows))
 
 
-@query(f"WITH {_SETS}, g AS (SELECT {_NORM} AS h, count(*)::DOUBLE AS m FROM documents WHERE {_NORM} <> '' GROUP BY 1) SELECT count(*) AS groups, sum(m)::BIGINT AS docs, round(sum(m) * sum(m) / sum(m * m), 6) AS effective FROM g")
+@query(f"""WITH RECURSIVE {_SETS}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT k AS x, k AS y FROM sets UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+root AS (SELECT x AS k, min(y) AS root FROM reach GROUP BY x), copies AS (SELECT min(doc_id) AS k, count(*) AS n FROM documents WHERE len({_W}) > 0 GROUP BY array_to_string({_W}, ' ')),
+m AS (SELECT root, sum(n)::DOUBLE AS m FROM copies JOIN root USING (k) GROUP BY root) SELECT count(*) AS groups, sum(m)::BIGINT AS docs, round(sum(m) * sum(m) / sum(m * m), 6) AS effective FROM m""")
 def effective_diversity(spark: SparkSession, d: str) -> DataFrame:
-    """The number of equally large groups of copies that would be as diverse."""
-    n = _docs(spark, d).where(T.normalize(T.text_of(F.col("text"))) != "").groupBy(dedup.same_text(F.col("text")).alias("h")).agg(F.count("*").cast("double").alias("m"))
-    return n.agg(F.count("*").alias("groups"), F.sum("m").cast("bigint").alias("docs"), F.round(F.sum("m") * F.sum("m") / F.sum(F.col("m") * F.col("m")), 6).alias("effective"))
+    """The number of equally large clusters of near duplicates that would be as diverse."""
+    docs = _docs(spark, d)
+    words = F.array_join(T.words(T.text_of(F.col("text"))), " ")
+    copies = docs.select("doc_id", words.alias("t")).where("t != ''").groupBy("t").agg(F.min("doc_id").alias("k"), F.count("*").alias("n")).select("k", "n")
+    of = copies.join(dedup.clusters(dedup.jaccard_pairs(docs, "doc_id", "text")), "k", "left")
+    m = of.groupBy(F.coalesce("root", "k").alias("root")).agg(F.sum("n").cast("double").alias("m"))
+    return m.agg(F.count("*").alias("groups"), F.sum("m").cast("bigint").alias("docs"), F.round(F.sum("m") * F.sum("m") / F.sum(F.col("m") * F.col("m")), 6).alias("effective"))
 
 
 @query(rf"SELECT w AS token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS w FROM documents) GROUP BY w")

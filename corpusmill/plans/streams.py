@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators import clean
-from corpusmill.plans.registry import query
+from corpusmill.plans import cleaning  # noqa: F401, its SQL is used here
+from corpusmill.plans.registry import SQL, query
 from corpusmill.sources.tables import table
 from corpusmill.streaming import metrics
 
@@ -39,14 +40,14 @@ def stall_detect_stream(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS rows, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def windowed_metric(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly means of the log. The table is read as a stream to its end in one run, so every window is final."""
+    """Hourly means of the log, updated as rows arrive; state older than the watermark is let go."""
     e = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours")
     g = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("rows"), F.round(F.avg("value"), 6).alias("mean"))
-    return metrics.drained(g.select(F.col("w.start").alias("hour"), "event_type", "rows", "mean"), "complete").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    return metrics.drained(g.select(F.col("w.start").alias("hour"), "event_type", "rows", "mean"), "update", keys=["hour", "event_type"]).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
 
 
-@query("SELECT doc_id, length(coalesce(text, ''))::BIGINT AS raw_chars FROM documents")
+@query(SQL["clean_disposition"])
 def clean_stream(spark: SparkSession, d: str) -> DataFrame:
     """The cleaning chain on newly arriving shards: it needs no state."""
-    s = clean.disposition(_stream(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.col("raw_chars").cast("bigint").alias("raw_chars"))
-    return metrics.drained(s, "append")
+    s = clean.disposition(_stream(spark, d, "documents").select("doc_id", "source", "text"))
+    return metrics.drained(s.select("doc_id", "source", "reason", F.col("raw_chars").cast("bigint"), F.col("clean_chars").cast("bigint"), F.md5("clean_text").alias("hash")), "append")
