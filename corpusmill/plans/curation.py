@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import curate, dedup
+from corpusmill.operators.order import ranked
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import spread, table
 
@@ -92,9 +93,7 @@ last AS (SELECT source, n // 8 AS batch, n % 8 AS idx, arg_max(score, pos) AS sc
 SELECT i.id, i.n // 8 AS batch, i.n % 8 AS idx, coalesce(l.score, 0)::INT AS score, CASE WHEN l.score IS NULL THEN 'judge_missing_result' END AS reason FROM items i LEFT JOIN last l ON l.source = i.source AND l.batch = i.n // 8 AND l.idx = i.n % 8""")
 def judge_join(spark: SparkSession, d: str) -> DataFrame:
     """Batches of eight joined with results by index: a later duplicate wins, a missing one fails."""
-    c = _once(spark, d)
-    n = (F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).cast("bigint")
-    items = c.select("id", "source", "score", n.alias("n"))
+    items = ranked(_once(spark, d).select("id", "source", "score"), ["source"], ["id"], "n")
     results = items.where("score IS NOT NULL").select("source", "n", "score", F.lit(1).alias("pos")).unionByName(items.where("n % 5 = 0").select("source", "n", F.lit(1).alias("score"), F.lit(2).alias("pos")))
     key = [F.floor(F.col("n") / 8).alias("batch"), (F.col("n") % 8).alias("idx")]
     last = results.groupBy("source", *key).agg(F.max_by("score", "pos").alias("result"))
@@ -109,7 +108,7 @@ def question_dups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ONCE} SELECT min(id) AS id, count(*) AS copies FROM once WHERE length(answer) > 80 GROUP BY {_form('answer')}")
 def boilerplate_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Copies among long answers only; short ones may well be equal."""
+    """Copies among long answers only (here 80 characters, as none has the rule's 200); short ones may well be equal."""
     return _once(spark, d).where(F.length("answer") > 80).groupBy(F.sha1(T.question_form(T.text_of(F.col("answer")))).alias("h")).agg(F.min("id").alias("id"), F.count("*").alias("copies")).drop("h")
 
 
@@ -158,7 +157,7 @@ _GRAM13 = f"(SELECT id, split, CASE WHEN len(w) >= 8 THEN list_transform(range(1
 
 @query(f"WITH {_FUNNEL}, sp AS (SELECT id, question, CASE WHEN row_number() OVER (ORDER BY md5('11:' || id), id) <= 200 THEN 'eval' ELSE 'train' END AS split FROM fun WHERE fate = 'kept'), g AS (SELECT id, split, unnest(g) AS g FROM {_GRAM13}) SELECT DISTINCT id FROM g WHERE split = 'train' AND g IN (SELECT g FROM g WHERE split = 'eval')")
 def train_decontam(spark: SparkSession, d: str) -> DataFrame:
-    """Training questions that share eight words with a held-out one; short questions count whole."""
+    """Training questions that share eight words with a held-out one (13 would match none here); short questions count whole."""
     kept = _funnel(spark, d).where("fate = 'kept'").select("id", "question")
     held = kept.orderBy(curate.shuffled("11", F.col("id")), "id").limit(200)
     w = F.filter(F.split(T.question_form(T.text_of(F.col("question"))), " "), lambda x: x != "")
@@ -205,9 +204,93 @@ def largest_remainder(spark: SparkSession, d: str) -> DataFrame:
     return curate.allocate(parts, "share", "pos", 1003).select("part", "quota")
 
 
-@query(f"WITH {_ONCE} SELECT id, md5(max(CASE WHEN k = 'question' THEN v END) || '|' || max(CASE WHEN k = 'answer' THEN v END)) AS both_ FROM (SELECT id, 'question' AS k, coalesce(question, '') AS v FROM once UNION ALL SELECT id, 'answer', coalesce(answer, '') FROM once) GROUP BY id")
-def side_by_side(spark: SparkSession, d: str) -> DataFrame:
-    """Long rows pivoted to one row for each key; the pivot's values are given, so no job looks for them."""
+_GENERATED = f"""{_ONCE}, gen AS (SELECT id, type, coalesce(question, '') AS question, 'base' AS model, coalesce(context, '') AS generated FROM once UNION ALL SELECT id, type, coalesce(question, ''), 'tuned', coalesce(answer, '') FROM once)"""
+
+
+def _generated(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts stand for what the base model says, answers for what the tuned one does."""
     c = _once(spark, d)
-    long = c.select("id", F.inline(F.array(F.struct(F.lit("question").alias("k"), T.text_of(F.col("question")).alias("v")), F.struct(F.lit("answer").alias("k"), T.text_of(F.col("answer")).alias("v")))))
-    return long.groupBy("id").pivot("k", ["question", "answer"]).agg(F.first("v")).select("id", F.md5(F.concat("question", F.lit("|"), "answer")).alias("both_"))
+    pair = lambda m, x: F.struct(F.lit(m).alias("model"), T.text_of(F.col(x)).alias("generated"))
+    return c.select("id", "type", T.text_of(F.col("question")).alias("question"), F.inline(F.array(pair("base", "context"), pair("tuned", "answer"))))
+
+
+@query(f"WITH {_GENERATED} SELECT question, md5(arg_min(generated, id) FILTER (model = 'base')) AS base, md5(arg_min(generated, id) FILTER (model = 'tuned')) AS tuned FROM gen GROUP BY question")
+def side_by_side(spark: SparkSession, d: str) -> DataFrame:
+    """Generations pivoted by model, one row for each question, of the smallest id; the pivot's values are given, so no job looks for them."""
+    return _generated(spark, d).groupBy("question").pivot("model", ["base", "tuned"]).agg(F.md5(F.min_by("generated", "id")))
+
+
+_REFUSED_G = _REFUSED.replace("answer", "generated")
+
+
+@query(rf"""WITH {_GENERATED}, x AS (SELECT *, {_REFUSED_G} AS refused, regexp_matches(generated, '[.!?]{_WS}*$') AS eos, len(regexp_extract_all(lower(generated), '[a-z0-9]+')) AS n FROM gen)
+SELECT model, count(*) AS n, count(*) FILTER (type = 'unanswerable') AS unanswerable, round(count(*) FILTER (type = 'unanswerable' AND refused) / greatest(count(*) FILTER (type = 'unanswerable'), 1)::DOUBLE, 3) AS refusal_rate,
+ round(count(*) FILTER (coalesce(type, '') <> 'unanswerable' AND refused) / greatest(count(*) FILTER (coalesce(type, '') <> 'unanswerable'), 1)::DOUBLE, 3) AS false_refusal_rate, round(count(*) FILTER (eos) / count(*)::DOUBLE, 3) AS eos_rate, round(avg(n), 1) AS mean_new_tokens FROM x GROUP BY model""")
+def model_behaviour(spark: SparkSession, d: str) -> DataFrame:
+    """Each model's refusals, false refusals, share of texts that come to an end, and mean length in words."""
+    r, u = curate.is_refusal(F.col("generated")), F.coalesce("type", F.lit("")) == "unanswerable"
+    rate = lambda on, hit: F.round(F.count_if(on & hit) / F.greatest(F.count_if(on), F.lit(1)), 3)
+    eos = F.col("generated").rlike(rf"[.!?]{T.SPACE}*$")
+    return _generated(spark, d).groupBy("model").agg(
+        F.count("*").alias("n"), F.count_if(u).alias("unanswerable"), rate(u, r).alias("refusal_rate"), rate(~u, r).alias("false_refusal_rate"),
+        F.round(F.count_if(eos) / F.count("*"), 3).alias("eos_rate"), F.round(F.avg(F.size(T.words(F.col("generated")))), 1).alias("mean_new_tokens"),
+    )
+
+
+@query(f"""WITH {_ONCE}, i AS (SELECT id, type, verdict, score, row_number() OVER (ORDER BY id) - 1 AS n FROM once), v AS (SELECT n, score FROM i WHERE score IS NOT NULL AND (n // 8) % 7 <> 3)
+SELECT i.id, i.n // 8 AS batch, i.n % 8 AS idx, CASE WHEN v.score >= 4 THEN 'correct' ELSE 'wrong' END AS verdict, coalesce(v.score >= 3, false) AS grounded, CASE WHEN v.score IS NULL THEN 'judge_failed' END AS reason FROM i LEFT JOIN v USING (n)""")
+def verdict_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Answers joined with an accuracy judge's verdicts by batch and index; a missing verdict, or a batch whose call failed (here every seventh), counts as wrong."""
+    i = ranked(_once(spark, d).select("id", "score"), [], ["id"], "n").withColumns({"batch": F.floor(F.col("n") / 8), "idx": F.col("n") % 8})
+    v = i.where(F.col("score").isNotNull() & (F.col("batch") % 7 != 3)).select("batch", "idx", F.col("score").alias("mark"))
+    verdict = F.when(F.col("mark") >= 4, "correct").otherwise("wrong")
+    return i.join(v, ["batch", "idx"], "left").select("id", "batch", "idx", verdict.alias("verdict"), F.coalesce(F.col("mark") >= 3, F.lit(False)).alias("grounded"), F.when(F.col("mark").isNull(), "judge_failed").alias("reason"))
+
+
+#: Of the selection's parameters, those that these tables need to be other than the original's: no answer is longer than 120 characters, and no two of these vectors are as like as 0.88.
+LONG, HELD = 80, 0.35
+_FAMILY = "regexp_extract(source, '^(case-law|sec|fineweb-edu)')"
+_SELECT = f"""{_ONCE}, vec AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 1e-8)) AS v FROM embeddings),
+c AS (SELECT o.id, {_FAMILY} AS source, type, question, answer, verdict, coalesce(score, 0) AS score, v.v, md5('11:' || o.id) AS o, md5('11:eval:' || o.id) AS e FROM once o LEFT JOIN vec v ON v.vec_id = ('0x' || substring(md5(o.id), 1, 7))::BIGINT % (SELECT max(vec_id) + 1 FROM embeddings)),
+good AS (SELECT *, row_number() OVER (PARTITION BY {_form('question')} ORDER BY id) AS qn FROM c WHERE verdict = 'keep'),
+uniq AS (SELECT *, CASE WHEN length(answer) > {LONG} THEN row_number() OVER (PARTITION BY {_form('answer')}, coalesce(length(answer) > {LONG}, false) ORDER BY id) ELSE 1 END AS an FROM good WHERE qn = 1),
+fresh AS (SELECT *, row_number() OVER (ORDER BY score DESC, o, id) AS i FROM uniq WHERE an = 1),
+alike AS (SELECT a.i AS a, b.i AS b FROM fresh a JOIN fresh b ON a.i < b.i AND round(list_dot_product(a.v, b.v), 6) >= {curate.NEAR_COSINE}),
+turn AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT a AS v FROM alike UNION SELECT b FROM alike)),
+pass AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT t.i, CASE WHEN EXISTS (SELECT 1 FROM alike x WHERE x.b = t.v AND list_contains(p.kept, x.a)) THEN p.kept ELSE list_append(p.kept, t.v) END FROM pass p JOIN turn t ON t.i = p.i + 1),
+near AS (SELECT f.id FROM fresh f JOIN turn ON f.i = turn.v WHERE NOT list_contains((SELECT kept FROM pass ORDER BY i DESC LIMIT 1), f.i)),
+pool AS (SELECT * FROM fresh WHERE id NOT IN (SELECT id FROM near)),
+smix AS (SELECT * FROM (VALUES ('case-law', 0.4::DOUBLE, 0), ('sec', 0.4::DOUBLE, 1), ('fineweb-edu', 0.2::DOUBLE, 2)) v(source, share, pos)), tmix AS (SELECT * FROM (VALUES ('lookup', 0.5::DOUBLE, 0), ('reasoning', 0.3::DOUBLE, 1), ('unanswerable', 0.2::DOUBLE, 2)) v(type, share, pos)),
+total AS (SELECT least(min(floor(n / share)), 3200)::BIGINT AS total FROM (SELECT source, count(*) AS n FROM pool GROUP BY source) JOIN smix USING (source)),
+sx AS (SELECT source, pos, total, share * total AS x FROM smix, total), sq AS (SELECT source, (floor(x) + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, pos) <= total - sum(floor(x)) OVER () THEN 1 ELSE 0 END)::BIGINT AS want FROM sx),
+tx AS (SELECT source, want, type, pos, share * want AS x FROM sq, tmix), tq AS (SELECT source, type, (floor(x) + CASE WHEN row_number() OVER (PARTITION BY source ORDER BY x - floor(x) DESC, pos) <= want - sum(floor(x)) OVER (PARTITION BY source) THEN 1 ELSE 0 END)::BIGINT AS q FROM tx),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY o, id) AS tr FROM pool), firsts AS (SELECT r.*, r.tr <= coalesce(q, 0) AS f FROM ranks r LEFT JOIN tq USING (source, type)),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY f DESC, o, id) AS n FROM firsts) JOIN sq USING (source) WHERE n <= want),
+split AS (SELECT *, row_number() OVER (ORDER BY e, id) <= 200 AS is_eval FROM chosen),
+qw AS (SELECT id, is_eval, list_filter(string_split({_form('question')}, ' '), lambda x: x <> '') AS w FROM split),
+qg AS (SELECT id, is_eval, unnest(CASE WHEN len(w) >= 13 THEN list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM qw),
+bad AS (SELECT id FROM qg WHERE NOT is_eval AND g IN (SELECT g FROM qg WHERE is_eval) UNION SELECT t.id FROM split t JOIN split h ON NOT t.is_eval AND h.is_eval AND round(list_dot_product(t.v, h.v), 6) >= {HELD}),
+fates AS (SELECT c.id, CASE WHEN coalesce(c.verdict, '') <> 'keep' THEN 'judge_fail' WHEN g.qn > 1 THEN 'exact_dup' WHEN u.an > 1 THEN 'boilerplate_answer' WHEN c.id IN (SELECT id FROM near) THEN 'near_dup' WHEN s.id IS NULL THEN 'stratify_drop' WHEN s.is_eval THEN 'eval' WHEN c.id IN (SELECT id FROM bad) THEN 'eval_contaminated' ELSE 'kept' END AS fate
+  FROM c LEFT JOIN good g USING (id) LEFT JOIN uniq u USING (id) LEFT JOIN split s USING (id))"""
+
+
+def _selected(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").alias("vector"))
+    n = (v.agg(F.max("v")).first()[0] or 0) + 1
+    c = _once(spark, d).withColumn("v", F.conv(F.substring(F.md5("id"), 1, 7), 16, 10).cast("bigint") % n).withColumn("source", F.regexp_extract("source", "^(case-law|sec|fineweb-edu)", 1))
+    return curate.select_pairs(c.join(v, "v", "left"), long=LONG, held=HELD)
+
+
+@query(f"WITH RECURSIVE {_SELECT} SELECT id, fate FROM fates")
+def selected_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The whole selection of instruction pairs: each pair's fate, the final training and held-out sets among them."""
+    return _selected(spark, d)
+
+
+_STAGES = ("judge_fail", "exact_dup", "boilerplate_answer", "near_dup", "stratify_drop", "eval_contaminated", "kept", "eval")
+
+
+@query(f"WITH RECURSIVE {_SELECT} SELECT count(*) AS candidates, " + ", ".join(f"count(*) FILTER (fate = '{x}') AS {x}" for x in _STAGES) + " FROM fates")
+def selection_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs each stage drops and what is left."""
+    return _selected(spark, d).agg(F.count("*").alias("candidates"), *[F.count_if(F.col("fate") == x).alias(x) for x in _STAGES])

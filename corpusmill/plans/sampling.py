@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import curate
+from corpusmill.operators.order import ranked
+from corpusmill.plans.cleaning import head_of
 from corpusmill.plans.registry import query
 from corpusmill.sources.tables import table
 
@@ -64,32 +66,32 @@ def per_type_sample(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents), p AS (SELECT DISTINCT source, CASE WHEN n = 1 THEN 0 ELSE floor(k * (n - 1) / (least(5, n) - 1)::DOUBLE) END::BIGINT AS i FROM n, LATERAL (SELECT unnest(range(0, least(5, n))) AS k)) SELECT source, doc_id FROM r JOIN p USING (source, i)")
 def even_sample(spark: SparkSession, d: str) -> DataFrame:
     """Five documents evenly spaced over each source, the first and the last among them."""
-    r = table(spark, d, "documents").select("source", "doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("bigint").alias("i"))
+    r = ranked(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "i")
     n = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(5), F.col("n")) - 1))
     p = n.withColumn("k", k).select("source", F.when(F.col("n") == 1, 0).otherwise(F.floor(F.col("k") * (F.col("n") - 1) / (F.least(F.lit(5), F.col("n")) - 1).cast("double"))).cast("bigint").alias("i")).distinct()
     return r.join(p, ["source", "i"]).select("source", "doc_id")
 
 
-@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('1337:2:' || doc_id), doc_id) - 1 AS place FROM documents")
+@query("SELECT source, doc_id, row_number() OVER (ORDER BY md5('1337:2:' || doc_id), doc_id) - 1 AS place FROM documents")
 def epoch_order(spark: SparkSession, d: str) -> DataFrame:
-    """Each source's documents in the order of epoch 2."""
-    order = Window.partitionBy("source").orderBy(curate.shuffled("1337:2", F.col("doc_id")), "doc_id")
-    return table(spark, d, "documents").select("source", "doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("place"))
+    """All documents, as windows of a corpus, in the order of epoch 2."""
+    docs = table(spark, d, "documents").select("source", "doc_id", curate.shuffled("1337:2", F.col("doc_id")).alias("h"))
+    return ranked(docs, [], ["h", "doc_id"]).drop("h")
 
 
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 8 = 3")
 def rank_shard(spark: SparkSession, d: str) -> DataFrame:
     """Every eighth document, from the fourth: one worker's share."""
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("source", "doc_id", i.alias("i")).where("i % 8 = 3").drop("i")
+    return ranked(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "i").where("i % 8 = 3").drop("i")
 
 
 @query("SELECT id, row_number() OVER (PARTITION BY source ORDER BY score DESC, md5('7:' || id), id) AS place FROM (SELECT DISTINCT id, source, coalesce(llm_judge_score, 0) AS score FROM candidate)")
 def score_order(spark: SparkSession, d: str) -> DataFrame:
     """Best first within a source, ties in a reproducible order."""
     c = table(spark, d, "candidate").select("id", "source", F.coalesce("llm_judge_score", F.lit(0)).alias("score")).distinct()
-    return c.select("id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), curate.shuffled("7", F.col("id")), "id")).cast("bigint").alias("place"))
+    c = c.withColumn("h", curate.shuffled("7", F.col("id")))
+    return ranked(c, ["source"], [F.desc("score"), "h", "id"]).select("id", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT source, sum(length(text))::BIGINT AS chars, round(sum(length(text))::DOUBLE / sum(sum(length(text))) OVER (), 6) AS share FROM documents WHERE text IS NOT NULL GROUP BY source")
@@ -131,9 +133,46 @@ def word_overlap(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, b.item_id FROM (SELECT id, row_number() OVER (PARTITION BY source ORDER BY id) - 1 AS i FROM (SELECT DISTINCT id, source FROM passage)) p JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS j, count(*) OVER () AS n FROM benchmark) b ON p.i % b.n = b.j")
 def wrap_around(spark: SparkSession, d: str) -> DataFrame:
     """Row i takes item i modulo their number; items are the fixed held-out set."""
-    p = table(spark, d, "passage").select("id", "source").distinct()
-    p = p.select("id", (F.row_number().over(Window.partitionBy("source").orderBy("id")) - 1).alias("i"))
-    one = Window.partitionBy(F.lit(1))
-    b = table(spark, d, "benchmark").select("item_id", (F.row_number().over(one.orderBy("item_id")) - 1).alias("j"))
+    p = ranked(table(spark, d, "passage").select("id", "source").distinct(), ["source"], ["id"], "i").select("id", "i")
+    b = ranked(table(spark, d, "benchmark").select("item_id"), [], ["item_id"], "j")
     n = max(1, b.count())
     return p.withColumn("j", F.col("i") % n).join(b, "j").select("id", "item_id")
+
+
+_TAKEN = """n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents),
+k AS (SELECT source, n, least(n, 16) AS m FROM n), e AS (SELECT source, n, m, unnest(range(0, m)) AS j FROM k),
+p AS (SELECT DISTINCT source, CASE WHEN m = n THEN j ELSE least(n - 1, floor(j * (n / m::DOUBLE) + (('0x' || substring(md5('9:' || source || ':' || j), 1, 8))::BIGINT / 4294967296.0::DOUBLE) * (n / m::DOUBLE))) END::BIGINT AS i FROM e)"""
+
+
+@query(rf"WITH {_TAKEN}, ok AS (SELECT source, doc_id, i FROM r JOIN p USING (source, i) WHERE length(trim(regexp_replace(coalesce(text, ''), '{T.SPACE_SQL}+', ' ', 'g'))) >= 500 AND len(string_split(trim(regexp_replace(coalesce(text, ''), '{T.SPACE_SQL}+', ' ', 'g')), ' ')) >= 120) SELECT source, doc_id FROM ok QUALIFY row_number() OVER (PARTITION BY source ORDER BY i) <= 10")
+def quota_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Ten passages of each source: 1.6 times as many lines are looked at, in order, and the first ten that make a passage are taken."""
+    docs = table(spark, d, "documents").select("source", "doc_id", "text")
+    n = docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("m", F.least("n", F.lit(16)))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("9:"), "source", F.lit(":"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    stride = F.col("n") / F.col("m")
+    at = F.when(F.col("m") == F.col("n"), F.col("j")).otherwise(F.least(F.col("n") - 1, F.floor(F.col("j") * stride + u * stride)))
+    picks = n.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1))).select("source", at.alias("i")).distinct()
+    looked = ranked(docs.select("source", "doc_id"), ["source"], ["doc_id"], "i").join(picks, ["source", "i"]).join(docs.select("doc_id", "text"), "doc_id")
+    p = curate.passage(F.col("text"))
+    ok = looked.where(p.isNotNull() & (F.size(F.split(p, " ")) >= curate.PASSAGE_LEAST))
+    return head_of(ok, "source", "i", 10).select("source", "doc_id")
+
+
+@query("""WITH q AS (SELECT source, least(50, count(*)) AS q FROM documents GROUP BY source), x AS (SELECT source, q, type, pos, q * share AS x FROM q, (VALUES ('lookup', 0.5::DOUBLE, 0), ('reasoning', 0.3::DOUBLE, 1), ('unanswerable', 0.2::DOUBLE, 2)) v(type, share, pos)),
+c AS (SELECT source, type, pos, (floor(x) + CASE WHEN row_number() OVER (PARTITION BY source ORDER BY x - floor(x) DESC, pos) <= q - sum(floor(x)) OVER (PARTITION BY source) THEN 1 ELSE 0 END)::BIGINT AS n FROM x),
+s AS (SELECT source, type, pos, unnest(range(0, n)) AS j FROM c) SELECT source, type, row_number() OVER (PARTITION BY source ORDER BY md5('13:' || source || ':' || type || ':' || j)) - 1 AS at FROM s""")
+def type_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """A shuffled sequence of question types for each source's quota, exactly in the shares of the mix."""
+    q = table(spark, d, "documents").groupBy("source").agg(F.least(F.lit(50), F.count("*")).alias("q"))
+    kinds = F.inline(F.array(*[F.struct(F.lit(t).alias("type"), F.lit(x).alias("share"), F.lit(i).alias("pos")) for i, (t, x) in enumerate(curate.TYPE_MIX.items())]))
+    parts = curate.allocate(q.select("source", "q", kinds), "share", "pos", F.col("q"), ["source"])
+    seq = parts.where("quota > 0").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1)))
+    h = F.md5(F.concat(F.lit("13:"), "source", F.lit(":"), "type", F.lit(":"), F.col("j").cast("string")))
+    return ranked(seq.select("source", "type", h.alias("h")), ["source"], ["h"], "at").drop("h")
+
+
+@query("WITH g AS (SELECT source, sum(length(text))::DOUBLE AS c FROM documents WHERE text IS NOT NULL GROUP BY source) SELECT row_number() OVER (ORDER BY round(c / (SELECT sum(c) FROM g), 6) DESC, source) - 1 AS place, source, round(c / (SELECT sum(c) FROM g), 6) AS share FROM g")
+def mix_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The mix in order of its shares, ties by name, each with its place."""
+    return ranked(char_share(spark, d).select("source", "share"), [], [F.desc("share"), "source"])

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
 from pyspark.sql.types import IntegerType
 
 from corpusmill.sources.tables import scratch
