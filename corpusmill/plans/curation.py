@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions import tokens
 from corpusmill.operators import curate, dedup
 from corpusmill.operators.order import ranked
 from corpusmill.plans.registry import query
@@ -37,6 +38,24 @@ def build_passages(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.concat("source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("id"), F.length("p").cast("bigint").alias("chars"), n.alias("n_tokens"), F.md5("p").alias("hash")).where(F.col("n_tokens") >= curate.PASSAGE_LEAST)
 
 
+@query()
+def token_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of at most 700 and at least 120 tokens of a public vocabulary, cut at a sentence's end; no SQL encodes."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    t = T.collapse(T.text_of(F.col("text")))
+    long = docs.select(F.concat("source", F.lit("-"), F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("id"), t.alias("t")).where(F.length("t") >= curate.PASSAGE_CHARS)
+    return tokens.truncated(long, "id", "t", tokens.VOCABULARY, curate.PASSAGE_TOKENS).where(F.col("n_tokens") >= curate.PASSAGE_LEAST)
+
+
+@query()
+def token_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Rendered pairs as ids of a public vocabulary in rows of 1,024 with their masks; longer ones are left out."""
+    r = spread(_once(spark, d)).select("id", curate.prompt(F.col("question"), F.col("context")).alias("p"), F.concat(T.text_of(F.col("answer")), F.lit("<|eos|>")).alias("c"))
+    e = tokens.examples(r, "id", "p", "c", tokens.VOCABULARY, 1024).where("ids IS NOT NULL")
+    n = F.size("ids")
+    return e.select("id", curate.padded(F.slice("ids", 1, F.col("boundary")), F.slice("ids", F.col("boundary") + 1, n - F.col("boundary")), 1024).alias("r")).select("id", "r.*")
+
+
 _STRIP = lambda c: rf"regexp_replace(coalesce({c}, ''), '^{_WS}+|{_WS}+$', '', 'g')"
 _FAULT = rf"""CASE WHEN q = '' OR a = '' THEN 'empty_field' WHEN length(q) < 15 THEN 'question_too_short' WHEN NOT contains(q, '?') THEN 'not_a_question'
  WHEN regexp_matches(q, '(?i){curate.CONTEXT_LEAK}') THEN 'context_leak_in_question' WHEN regexp_matches(a, '{curate.BROKEN_OFF}') THEN 'answer_truncated'

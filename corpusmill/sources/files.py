@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 from corpusmill.sources.tables import ship
 
 SEQ = 1024
+#: Windows in one file of two-byte ids: 32 MB.
+WINDOWS = 1 << 14
 
 
 def read_texts(spark: SparkSession, paths: str | list[str], field: str) -> DataFrame:
@@ -28,8 +30,8 @@ def shards(spark: SparkSession, pattern: str) -> DataFrame:
     return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), "path", "bytes").orderBy("name")
 
 
-def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """file, line_no (from 0; blank lines count), text of the lines that aren't blank.
+def read_lines(spark: SparkSession, pattern: str, keep: str = "name") -> DataFrame:
+    """file (its name, or with ``keep="path"`` its path), line_no (from 0; blank lines count), text of the lines that aren't blank.
 
     A file is read in blocks by many tasks. Each block's lines are numbered by
     themselves and moved on by the lines of the blocks before it, so no file is
@@ -41,7 +43,7 @@ def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
     blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
     here = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
     rows = raw.withColumn("here", here).join(blocks, ["file", "block"])
-    name = F.element_at(F.split("file", "/"), -1)
+    name = F.col("file") if keep == "path" else F.element_at(F.split("file", "/"), -1)
     return rows.select(name.alias("file"), (F.col("past") + F.col("here")).alias("line_no"), F.col("value").alias("text")).where(F.trim("text") != "")
 
 
@@ -68,26 +70,33 @@ def write_jsonl(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
-def write_windows(df: DataFrame, folder: str, limit: int = 1 << 16) -> int:
-    """Windows (source, shard, window_id, split, tokens) as files of two-byte ids, ``split/source-shard.bin``; the number of ids.
+def local_path(folder: str) -> str:
+    """The folder as a path of the file system that the executors share."""
+    return folder.removeprefix("file://").removeprefix("file:")
+
+
+def write_windows(df: DataFrame, folder: str, limit: int = 1 << 16, per_file: int = WINDOWS) -> int:
+    """Windows (source, shard, window_id, split, tokens) as files of two-byte ids, ``split/source-shard-part.bin``; the number of ids.
 
     The folder must be one that all executors share. Ids beyond two bytes are an
-    error. A shard's file is written by one task, from windows sorted by Spark.
+    error. A file holds the windows of a stretch of ``per_file`` ids, so a shard
+    of any size is many tasks' work; in order of names they follow each other.
     """
+    folder = local_path(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n = None, None, 0
         for b in batches:
-            for source, shard, split, tokens in zip(*(b.column(k).to_pylist() for k in (0, 1, 3)), b.column(4)):
+            for source, shard, part, split, tokens in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4)), b.column(5)):
                 ids = tokens.values.to_numpy(zero_copy_only=False)
                 if len(ids) and (ids.min() < 0 or ids.max() >= limit):
                     raise ValueError(f"an id outside 0..{limit - 1}")
-                if (source, shard, split) != name:
+                if (source, shard, part, split) != name:
                     if out:
                         out.close()
-                    name = (source, shard, split)
+                    name = (source, shard, part, split)
                     os.makedirs(f"{folder}/{split}", exist_ok=True)
-                    out = open(f"{folder}/{split}/{source}-{shard}.bin", "wb")  # noqa: SIM115
+                    out = open(f"{folder}/{split}/{source}-{shard}-{part:06d}.bin", "wb")  # noqa: SIM115
                 out.write(ids.astype("<u2").tobytes())
                 n += len(ids)
         if out:
@@ -95,7 +104,8 @@ def write_windows(df: DataFrame, folder: str, limit: int = 1 << 16) -> int:
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     ship(df.sparkSession)
-    rows = df.select(F.col("source").cast("string"), F.col("shard").cast("string"), "window_id", "split", "tokens").repartition("source", "shard", "split").sortWithinPartitions("source", "shard", "split", "window_id")
+    part = F.floor(F.col("window_id") / per_file).cast("int").alias("part")
+    rows = df.select(F.col("source").cast("string"), F.col("shard").cast("string"), part, "window_id", "split", "tokens").repartition("source", "shard", "part", "split").sortWithinPartitions("source", "shard", "part", "split", "window_id")
     return rows.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
@@ -125,6 +135,24 @@ def check_examples(df: DataFrame, width: int, vocabulary: int) -> None:
         raise ValueError(f"{bad['shape']} rows of another width, {bad['ids']} with ids outside the vocabulary")
 
 
+def write_examples(df: DataFrame, folder: str, width: int, vocabulary: int) -> None:
+    """tokens, loss_mask and attn_mask of each example (with its other columns) as one table; wrong widths and ids are refused before anything is written."""
+    check_examples(df, width, vocabulary)
+    df.write.mode("overwrite").parquet(folder)
+
+
+def read_examples(spark: SparkSession, folder: str, width: int, vocabulary: int) -> DataFrame:
+    """The table of ``write_examples``, checked again."""
+    df = spark.read.parquet(folder)
+    check_examples(df, width, vocabulary)
+    return df
+
+
+def write_report(df: DataFrame, folder: str) -> None:
+    """A report, which is small, as one file of JSON lines."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
 def save_artifact(df: DataFrame, path: str, fingerprint: str) -> None:
     """A derived table with the fingerprint of how it was made."""
     df.withColumn("_made_by", F.lit(fingerprint)).write.mode("overwrite").parquet(path)

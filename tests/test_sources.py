@@ -70,3 +70,48 @@ def test_encode_round_trip(spark):
     df = spark.createDataFrame([(1, "Héllo  wörld\n"), (2, None), (3, "")], "id int, text string")
     ids = tokens.encode(df, "id", "text", path)
     assert {r.id: r.text for r in tokens.decode(ids, "id", "ids", path).collect()} == {1: "Héllo  wörld\n", 2: "", 3: ""}
+
+
+def test_truncation_and_examples(spark):
+    tk = pytest.importorskip("tokenizers")
+    from corpusmill.functions import tokens
+
+    t = tk.Tokenizer.from_file(tokens.VOCABULARY)
+    texts = ["One sentence here. " * 40 + "and no end", "short", "", None, "no end at all " * 60, "A. " + "endless " * 80]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").selectExpr("*", "1 AS k")
+    got = {r.id: (r.text, r.n_tokens) for r in tokens.truncated(df, "id", "text", tokens.VOCABULARY, 50).collect()}
+    assert got[0][0].endswith("here.") and got[0][1] == len(t.encode(got[0][0]).ids) <= 50
+    assert got[1] == ("short", len(t.encode("short").ids)) and got[2] == ("", 0) and got[3] == (None, 0)
+    assert 45 <= got[4][1] <= 50 and 45 <= got[5][1] <= 50  # an end that leaves less than half isn't cut at
+    pairs = spark.createDataFrame([(1, "ask ", "answer"), (2, "long " * 60, "answer"), (3, None, None)], "id int, p string, c string")
+    ex = {r.id: (r.ids, r.boundary) for r in tokens.examples(pairs, "id", "p", "c", tokens.VOCABULARY, 20).collect()}
+    assert t.decode(ex[1][0]) == "ask answer" and ex[1][1] == len(t.encode("ask ").ids) and ex[2] == (None, None) and ex[3] == ([], 0)
+
+
+def test_reports_and_example_tables(spark, tmp_path):
+    files.write_report(spark.createDataFrame([("a", None)], "s string, n int"), f"{tmp_path}/r")
+    assert [tuple(r) for r in files.read_jsonl(spark, f"{tmp_path}/r", "s string, n int").collect()] == [("a", None)]
+    good = spark.createDataFrame([(1, [1, 2], [0, 1], [1, 1])], "id int, tokens array<int>, loss_mask array<int>, attn_mask array<int>")
+    files.write_examples(good, f"{tmp_path}/e", 2, 3)
+    assert files.read_examples(spark, f"{tmp_path}/e", 2, 3).count() == 1
+    with pytest.raises(ValueError):
+        files.read_examples(spark, f"{tmp_path}/e", 3, 3)
+
+
+def test_shards_of_many_files(spark, tmp_path):
+    rows = [("s", 0, w, "train", [w, w]) for w in range(7)]
+    df = spark.createDataFrame(rows, "source string, shard int, window_id long, split string, tokens array<int>")
+    files.write_windows(df, f"file:{tmp_path}", per_file=3)
+    assert sorted(p.name for p in (tmp_path / "train").iterdir()) == ["s-0-000000.bin", "s-0-000001.bin", "s-0-000002.bin"]
+    assert files.read_windows(spark, f"{tmp_path}/train/*.bin", length=2).count() == 7
+
+
+def test_reading_ends_when_budgets_are_spent(spark, tmp_path):
+    from corpusmill.streaming import metrics
+
+    for k in range(4):
+        spark.createDataFrame([("a", 10 * k + i, 40) for i in range(3)] + [("b", k, 400)], "s string, at int, n int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema("s string, at int, n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = metrics.read_until(s, "s", "at", "n", 50, str(tmp_path)).groupBy("s").agg(F.count("*").alias("c")).collect()
+    assert {r.s: r.c for r in got} == {"a": 5, "b": 1}
+    assert len([p for p in (tmp_path / "spent").iterdir() if p.is_dir()]) == 2  # the other files aren't read
