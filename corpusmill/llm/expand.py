@@ -23,14 +23,18 @@ def _all_parts(df: DataFrame, parts: DataFrame, c: str) -> DataFrame:
     return df.join(parts.withColumnRenamed("c", c), c, "left").select(*df.columns, every.alias("p"))
 
 
-def between(links: DataFrame, members: DataFrame, part: int) -> DataFrame:
-    """``ka``, ``kb``: all rows of ``members`` (c, k) in the classes of each link (a, b). No join key holds more than about ``part`` rows of a class."""
+def to_rows(df: DataFrame, members: DataFrame, cs: list[str], part: int) -> DataFrame:
+    """``df`` with the rows of ``members`` (c, k) in the classes that its columns ``cs`` name, as ``k`` and that name. No join key holds more than about ``part`` rows of a class."""
     parts = _parts(members, part)
     dealt = _dealt(members, parts)
-    out = links.select("a", "b")
-    for c in "ab":
-        out = _all_parts(out, parts, c).join(dealt.select(F.col("c").alias(c), F.col("k").alias(f"k{c}"), "p"), [c, "p"]).drop(c, "p")
-    return out
+    for c in cs:
+        df = _all_parts(df, parts, c).join(dealt.select(F.col("c").alias(c), F.col("k").alias(f"k{c}"), "p"), [c, "p"]).drop("p")
+    return df
+
+
+def between(links: DataFrame, members: DataFrame, part: int) -> DataFrame:
+    """``ka``, ``kb``: all rows of ``members`` (c, k) in the classes of each link (a, b)."""
+    return to_rows(links.select("a", "b"), members, ["a", "b"], part).select("ka", "kb")
 
 
 def within(members: DataFrame, part: int) -> DataFrame:
