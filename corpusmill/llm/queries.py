@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from corpusmill.llm.lookalikes import LATIN, UNSEEN
 from corpusmill.sources.tables import spread, table
 
 # The reading of a text in SQL: unseen characters out, spaces and look-alikes by table, ligatures spelled out, accents composed.
-_FROM = "".join(chr(k) for k in LATIN) + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\xa0\t" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
-_TO = "".join(LATIN.values()) + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  " + " " * 11 + "   "
+_MATH = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x1D400, 0x1D800) if unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+_FROM = "".join(a for a, _ in _MATH) + "".join(chr(k) for k in LATIN) + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\xa0\t" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+_TO = "".join(LATIN.get(ord(b), b) for _, b in _MATH) + "".join(LATIN.values()) + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  " + " " * 11 + "   "
 _UNSEEN_SQL = re.sub(r"\\u([0-9a-f]{4})|\\U([0-9a-f]{8})|\\x([0-9a-f]{2})", lambda m: rf"\x{{{m[1] or m[2] or m[3]}}}", UNSEEN)
 _READ = f"regexp_replace(text, '[{_UNSEEN_SQL}]+', '', 'g')"
 for _a, _b in (("\ufb03", "ffi"), ("\ufb04", "ffl"), ("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl")):

@@ -11,7 +11,7 @@ from corpusmill.llm.lookalikes import reading
 SCHEMA = "doc_id long, text string"
 
 
-@pytest.mark.parametrize("a, b", [("county", "соuntу"), ("Ｆｕｌｌ１２", "Full12"), ("de­fi​ne", "define"), ("a b　c", "a b c"), ("é", "é"), ("ﬁne aﬃx", "fine affix"), ("Kelvin Å", "Kelvin Å"), ("Тһе", "The"), ("ё", "ë"), ("e‍́", "é"), ("a‑b", "a-b")])
+@pytest.mark.parametrize("a, b", [("county", "соuntу"), ("Ｆｕｌｌ１２", "Full12"), ("de­fi​ne", "define"), ("a b　c", "a b c"), ("é", "é"), ("ﬁne aﬃx", "fine affix"), ("Kelvin Å", "Kelvin Å"), ("Тһе", "The"), ("ё", "ë"), ("e‍́", "é"), ("a‑b", "a-b"), ("\U0001d401\U0001d428ld", "Bold"), ("\u13aa\ua4f3", "AO")])
 def test_equal_readings(a, b):
     assert reading(a) == reading(b)
 
@@ -24,7 +24,29 @@ def test_different_readings(a, b):
 def test_speller_prefers_ascii_then_frequency():
     s = homoglyphs.Speller([("сосед", 50), ("cocед", 2), ("résumé", 9)])
     assert s.token("сoсед") == "сосед" and s.token("rе́sumе́") == "résumé" and s.token("рау") == "pay"
-    assert s.match("resume") is None and s.match("résum", 1.0) == ("résumé", 1.0)
+    assert s.match("resume") is None and s.match("r\u00ad\u0435sum\u00e9") is None and s.match("r\u00e9\u00adsum\u00e9") == "résumé"
+
+
+def test_vocabulary_decides_between_letters_drawn_alike():
+    """The table reads palochka as I and upsilon as u; the corpus' words know better."""
+    s = homoglyphs.Speller([("long", 5), ("service", 9), ("up", 3), ("vp", 80), ("Irk", 1), ("\u04c0ong", 70), ("seruice", 1)])
+    assert s.token("\u04c0ong") == "long" and reading("\u04c0ong") == "Iong"
+    assert s.token("\u03c5p") == "up", "the first reading goes before a more frequent word"
+    assert s.token("ser\u03c5ice") == "seruice" and s.token("\u04c0rk") == "Irk" and s.token("\u04c0x") == "Ix"
+    assert homoglyphs.Speller([("long", 5)], only=True).text("a \u04c0\u043eng \u0440\u0430\u0443 day") == "a long \u0440\u0430\u0443 day"
+
+
+@pytest.mark.parametrize("size", [2, 1 << 16])
+def test_pairs_that_the_table_alone_misses(spark, size):
+    """Texts whose letters have several readings are found equal by the vocabulary, in one part or in many, and those of the table's reading stay apart from them."""
+    rows = [(1, "the long service of the county"), (2, "the \u04c0ong service of the county"), (3, "the long ser\u03c5ice of the county"), (4, "the l\u200bong service of the c\u043eunty"), (5, "illegal  \u01c0and"), (6, "illegal  land")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    form = {x.doc_id: x.text for x in homoglyphs.canonical(df, "doc_id", "text", size=size).collect()}
+    assert form == {1: rows[0][1], 2: rows[0][1], 3: rows[0][1], 4: rows[0][1], 5: "illegal  land", 6: "illegal  land"}
+    table = {k: reading(t) for k, t in rows}
+    assert table[2] != table[1] and table[3] == "the long seruice of the county" and table[4] == table[1]
+    got = {tuple(x) for x in homoglyphs.pairs(df, "doc_id", "text").collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 6)}
 
 
 def test_pairs_and_classes(spark):
