@@ -152,8 +152,9 @@ def vocabulary(df: DataFrame, text: str, size: int = VOCABULARY) -> list[list[tu
     asked = odd.where("several").select("skeleton").distinct()
     parts: list[list[tuple[str, int]]] = []
     if not asked.isEmpty():
-        plain = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("word")).withColumn("skeleton", F.translate("word", "Iv", "lu"))
-        plain = plain.join(asked, "skeleton", "left_semi").groupBy("word", "skeleton").agg(F.count("*").alias("n"))
+        # counted before they are joined, so that each task's different words are all that is shuffled
+        plain = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit("([A-Za-z0-9]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        plain = plain.withColumn("skeleton", F.translate("word", "Iv", "lu")).join(asked, "skeleton", "left_semi").select("word", "skeleton", "n")
         words = cut(plain.unionByName(odd.join(asked, "skeleton", "left_semi").select("word", "skeleton", "n")))
         of = -(-words.count() // size)
         for k in range(of):
