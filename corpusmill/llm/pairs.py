@@ -236,21 +236,27 @@ class Model:
     def fit(self, rows: list[list[int]], y: np.ndarray, seed: int = 0, parts: np.ndarray = PARTS) -> None:
         """Logistic regression of each label, by adaptive steps on small batches."""
         rng, seen = np.random.default_rng(seed), np.full_like(self.w, 1e-6)
+        flat = np.fromiter((i for r in rows for i in r), np.int32)
+        lens = np.array([len(r) for r in rows], np.int64)
+        starts = np.cumsum(lens) - lens
         for epoch in range(EPOCHS):
             order = rng.permutation(len(rows))
             for k in range(0, len(order), 64):
                 part = order[k : k + 64]
-                some = [rows[i] for i in part]
-                flat = np.fromiter((i for r in some for i in r), np.int64)
-                lens = np.array([len(r) for r in some])
-                s = np.add.reduceat(self.w[flat], np.concatenate([[0], np.cumsum(lens)[:-1]]), axis=0)
-                g = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[part]) / len(part)
-                at, back = np.unique(flat, return_inverse=True)
-                grad = np.zeros((len(at), len(LABELS)), np.float32)
-                np.add.at(grad, back, np.repeat(g, lens, axis=0))
-                grad = (grad + 1e-6 * self.w[at]) * parts[at]
+                n = lens[part]
+                first = np.cumsum(n) - n
+                f = flat[np.arange(n.sum()) + np.repeat(starts[part] - first, n)]
+                s = np.add.reduceat(self.w[f], first, axis=0)
+                g = ((1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[part]) / len(part)).astype(np.float32)
+                by = np.argsort(f, kind="stable")
+                f = f[by]
+                edges = np.flatnonzero(np.diff(f, prepend=-1))
+                at = f[edges]
+                grad = np.add.reduceat(np.repeat(g, n, axis=0)[by], edges, axis=0)
+                w = self.w[at]
+                grad = (grad + 1e-6 * w) * parts[at]
                 seen[at] += grad**2
-                self.w[at] -= STEP / (1 + epoch) * grad / np.sqrt(seen[at])
+                self.w[at] = w - STEP / (1 + epoch) * grad / np.sqrt(seen[at])
 
     def calibrate(self, rows: list[list[int]], y: np.ndarray) -> None:
         """For each label the threshold in the middle of the widest best range of F1 on held-out pairs; without such pairs nothing passes."""
