@@ -84,6 +84,13 @@ def language_gate(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.col("a") >= 0.99).alias("sure"), F.count_if((F.col("a") >= 0.90) & (F.col("a") < 0.99)).alias("doubtful"), F.count_if("e").alias("english"))
 
 
+@query(rf"WITH {_CLEAN} SELECT doc_id, CASE WHEN a >= 0.99 THEN true WHEN a < 0.90 THEN false ELSE coalesce(lower(lang) = 'en', a > 0.95) END AS english FROM asc_ JOIN cleaned USING (doc_id)")
+def language_detected(spark: SparkSession, d: str) -> DataFrame:
+    """The gate with a detector for doubtful texts; the column of languages stands for one, and fails where it is null."""
+    c = clean.cleaned(T.text_of(F.col("text")))
+    return _docs(spark, d).select("doc_id", clean.is_english(c, lambda _: F.lower("lang") == "en").alias("english"))
+
+
 @query(rf"WITH {_CLEAN} SELECT doc_id, source, reason, length(raw)::BIGINT AS raw_chars, length(c)::BIGINT AS clean_chars, md5(CASE WHEN reason = 'kept' THEN c ELSE '' END) AS hash FROM reasoned")
 def clean_disposition(spark: SparkSession, d: str) -> DataFrame:
     r = _reasons(spark, d)

@@ -234,3 +234,36 @@ def test_passage_cut(spark):
     got = one(spark, text, lambda c: curate.passage(c, most=130))
     assert got.endswith("three.") and len(got.split()) == 120
     assert one(spark, "short", curate.passage) is None
+
+
+def test_banded_pairs_find_nearly_all_and_equal_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(150, 32))
+    near = base + rng.normal(size=base.shape) * 0.3
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(np.vstack([base, near, base[:5], base[:5]]))] + [(999, None)]
+    df = spark.createDataFrame(rows, "k int, v array<double>").selectExpr("*", "1 AS h", "2 AS band")
+    m = np.array([v for _, v in rows[:-1]])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    c = np.round(m @ m.T, 6)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(c >= 0.92)) if i < j}
+    got = [(x.a, x.b) for x in similarity.banded_pairs(df, "k", "v", 0.92).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.99 * len(want)
+    assert {(0, 300), (0, 305), (300, 305)} <= set(got)
+    exact = {(x.a, x.b) for x in similarity.pairs(df, "k", "v", 0.92).collect()}
+    assert exact == want
+    assert similarity.banded_pairs(df.where("false"), "k", "v", 0.92).count() == 0
+
+
+def test_held_vectors_in_parts(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(40, 16)), rng.normal(size=(60, 16))
+    frame = lambda m: spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(m)], "k int, v array<double>")
+    want = ((a / np.linalg.norm(a, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T).max(1)
+    for mb in (64, 0.002):
+        got = {r.k: r.best for r in similarity.against(frame(a), "k", "v", frame(b), "v", part_mb=mb).collect()}
+        assert got == {k: pytest.approx(float(x)) for k, x in enumerate(want)}
+    assert {r.best for r in similarity.against(frame(a), "k", "v", frame(b).where("false"), "v").collect()} == {None}
