@@ -39,7 +39,8 @@ def lines(c: Column) -> Column:
 def nonalnum_ratio(line: Column) -> Column:
     """Share of characters that are no ASCII letter or digit; 1 for an empty line."""
     n = F.length(line)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.length(F.regexp_replace(line, "[^A-Za-z0-9]+", "")) / n)
+    signs = F.length(F.regexp_replace(line, "[A-Za-z0-9]+", ""))  # several times as fast as replacing what isn't in the class
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.lit(1.0) - (n - signs) / n)
 
 
 def ascii_ratio(c: Column, chars: int = 5000) -> Column:
