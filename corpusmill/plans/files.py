@@ -64,8 +64,9 @@ def window_files(spark: SparkSession, d: str) -> DataFrame:
     """Token windows as files of two-byte ids by split, read again."""
     folder = scratch(spark, "windows")
     files.write_windows(packing._windows(spark, d).withColumn("shard", F.lit(0)), folder)
-    parts = [files.read_windows(spark, f"{folder}/{s}/*.bin").withColumn("split", F.lit(s)) for s in ("train", "val")]
-    return parts[0].unionByName(parts[1]).select(F.regexp_extract("name", r"^(.*)-0-\d+\.bin$", 1).alias("source"), "split", F.col("window_id").alias("at"), F.md5(F.array_join("tokens", " ")).alias("hash"))
+    back = files.read_windows(spark, folder, keep="path")
+    name = lambda p, k: F.regexp_extract("path", p, k)
+    return back.select(name(r"/([^/]+)-0-\d+\.bin$", 1).alias("source"), name(r"/(train|val)/[^/]+$", 1).alias("split"), F.col("window_id").alias("at"), F.md5(F.array_join("tokens", " ")).alias("hash"))
 
 
 @query(f"WITH {packing._PACK.split('wn AS')[0].rstrip().rstrip(',')}, n AS (SELECT source, count(*) AS n FROM tk GROUP BY source), w AS (SELECT source, unnest(range(0, greatest(0, (n - 1) // 1024))) AS win FROM n), o AS (SELECT source, win, row_number() OVER (ORDER BY source, win) - 1 AS i FROM w) SELECT source, win, i FROM o WHERE i % 8 = 3")

@@ -8,8 +8,8 @@ from pyspark.sql import SparkSession
 def session(cpus: int | str = "*", app: str = "corpusmill", **conf: str) -> SparkSession:
     """A local session; on a cluster, use the session the cluster gives.
 
-    Shuffle partitions start at 64 and are coalesced by adaptive execution, so
-    the number is an upper bound, not a tuning for one data size.
+    Shuffle partitions start at 16, for one machine, and are coalesced by
+    adaptive execution; a cluster's session sets its own number.
     """
     b = (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -83,6 +83,7 @@ def write_windows(df: DataFrame, folder: str, limit: int = 1 << 16, per_file: in
     of any size is many tasks' work; in order of names they follow each other.
     """
     folder = local_path(folder)
+    os.makedirs(folder, exist_ok=True)  # there even without a window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n = None, None, 0
@@ -109,9 +110,12 @@ def write_windows(df: DataFrame, folder: str, limit: int = 1 << 16, per_file: in
     return rows.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def read_windows(spark: SparkSession, pattern: str, length: int = SEQ) -> DataFrame:
-    """name, window_id, tokens of files of two-byte ids; a last piece shorter than a window is dropped."""
+def read_windows(spark: SparkSession, pattern: str, length: int = SEQ, keep: str = "name") -> DataFrame:
+    """name (with ``keep="path"``, path), window_id in the file, tokens of the files of two-byte ids that fit ``pattern``, or of all ``.bin`` files below it; a last piece shorter than a window is dropped."""
     ship(spark)
+    source = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin")
+    if "*" not in pattern:
+        source = source.option("recursiveFileLookup", "true")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,9 +124,9 @@ def read_windows(spark: SparkSession, pattern: str, length: int = SEQ) -> DataFr
                 n = len(ids) // length
                 flat = pa.array(ids[: n * length].astype(np.int32))
                 tokens = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * length), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(np.arange(n)), tokens], ["name", "window_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([path if keep == "path" else path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(np.arange(n)), tokens], [keep, "window_id", "tokens"])
 
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, "name string, window_id bigint, tokens array<int>")
+    return source.load(pattern).select("path", "content").mapInArrow(run, f"{keep} string, window_id bigint, tokens array<int>")
 
 
 def check_examples(df: DataFrame, width: int, vocabulary: int) -> None:
