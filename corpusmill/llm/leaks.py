@@ -8,6 +8,7 @@ where it stands in the original text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from corpusmill.sources.tables import ship
 
 #: Consecutive words that make a piece; an item with fewer words must stand whole.
 WINDOW = 13
-#: Largest total of items' characters that is sent to the workers; about 1 GB of automaton for each Python worker.
+#: Items' characters in one automaton, in MB; about 1 GB of memory in each Python worker. A larger set is searched in parts.
 ITEMS_MB = 8
 _PLAIN = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 _WORD = re.compile(r"[^\W_]+")
@@ -90,17 +91,29 @@ def found(df: DataFrame, key: str, text: str, items: DataFrame, item: str, item_
     end excluded) and ``words`` of each maximal piece. Items without a word and
     rows whose text is null, empty or blank match nothing; equal items are all
     reported; repeated rows count once. An empty table on either side gives an
-    empty result. The items are the held-out set, which is small by nature:
-    their size is checked, and a set beyond ``items_mb`` is refused rather than
-    sent. The corpus isn't shuffled; only hits are made distinct.
+    empty result. The items are the held-out set, which is small by nature: one
+    automaton holds up to ``items_mb`` of them. A larger set is dealt to parts
+    of about that size by hash, and the corpus is scanned once for each part.
+    The corpus isn't shuffled; only hits are made distinct.
     """
     ship(df.sparkSession)
     held = items.select(F.col(item).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     size = held.agg(F.sum(F.length("t"))).first()[0] or 0
-    if size > items_mb * 1e6:
-        raise ValueError(f"{size} characters of held-out items; at most {items_mb} MB fit one automaton, so pass them in parts")
-    rows = sorted({(r.i, r.t) for r in held.collect()})
+    parts = max(1, math.ceil(size / (items_mb * 1e6)))
+    held = held.distinct()
+    src = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     kind = df.schema[key].dataType.simpleString()
+    schema = f"__key {kind}, item_id bigint" + (", start_at int, end_at int, words int" if spans else "")
+    out = None
+    for k in range(parts):
+        part = held.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k)
+        hits = src.mapInArrow(_scanner(sorted((r.i, r.t) for r in part.collect()), window, spans), schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct().withColumnRenamed("__key", key)
+
+
+def _scanner(rows: list[tuple[int, str]], window: int, spans: bool):
+    """The scan of Arrow batches of keys and texts for the items ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, whose = automaton(rows, window)
@@ -138,5 +151,4 @@ def found(df: DataFrame, key: str, text: str, items: DataFrame, item: str, item_
         return out
 
     lengths = {i: len(words(t)) for i, t in rows}
-    schema = f"__key {kind}, item_id bigint" + (", start_at int, end_at int, words int" if spans else "")
-    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, schema).distinct().withColumnRenamed("__key", key)
+    return run

@@ -49,10 +49,17 @@ def test_looks_do_not_count(spark, text):
     assert leaks.words(text[got[0].start_at : got[0].end_at]) == ["the", "quick", "brown", "fox"]
 
 
-def test_empty_sides_and_too_many_items(spark):
+def test_items_beyond_one_automaton_are_searched_in_parts(spark):
+    r = random.Random(8)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(15))) for k in range(12)]
+    docs = [(k, f"before {items[k % 12][1]} between {items[(k + 5) % 12][1][: r.randrange(40, 80)]} behind") for k in range(30)]
+    dd, ii = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    whole, parts = ({tuple(x) for x in leaks.found(dd, "doc_id", "text", ii, "item_id", "text", spans=True, items_mb=mb).collect()} for mb in (8, 0.0004))
+    assert whole == parts and {(k, k % 12) for k in range(30)} <= {x[:2] for x in whole}
+
+
+def test_empty_sides(spark):
     docs, items = spark.createDataFrame([(1, "a b " * 50_000)], DOCS), spark.createDataFrame([(1, "a b")], ITEMS)
     assert leaks.found(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leaks.found(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leaks.found(docs, "doc_id", "text", items, "item_id", "text").count() == 1
-    with pytest.raises(ValueError):
-        leaks.found(docs, "doc_id", "text", items, "item_id", "text", items_mb=1e-6)
