@@ -91,20 +91,22 @@ def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(spread(table(spark, d, "clean_result").select("rec_id", "text", "ingested_at")), "rec_id", "text", at="ingested_at")
 
 
-P5_FOUND = """
-WITH c AS (SELECT rec_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM clean_result WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY ingested_at DESC, text) = 1),
+_P5 = """
+c AS (SELECT rec_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM clean_result WHERE trim(coalesce(text, '')) <> '' QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY ingested_at DESC, text) = 1),
 s AS (SELECT rec_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM c WHERE len(w) >= 5),
 g AS (SELECT rec_id, len(s) AS n, unnest(s) AS g FROM s),
-p AS (SELECT a.rec_id AS rec_a, b.rec_id AS rec_b FROM g a JOIN g b ON a.g = b.g AND a.rec_id < b.rec_id GROUP BY a.rec_id, b.rec_id HAVING count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*)))
-SELECT rec_a, rec_b FROM p UNION SELECT a.rec_id, b.rec_id FROM c a JOIN c b ON a.text = b.text AND a.rec_id < b.rec_id"""
+p AS (SELECT a.rec_id AS rec_a, b.rec_id AS rec_b FROM g a JOIN g b ON a.g = b.g AND a.rec_id < b.rec_id GROUP BY a.rec_id, b.rec_id HAVING count(*) >= 0.5 * (any_value(a.n) + any_value(b.n) - count(*))),
+found AS (SELECT rec_a, rec_b FROM p UNION SELECT a.rec_id, b.rec_id FROM c a JOIN c b ON a.text = b.text AND a.rec_id < b.rec_id)"""
 
 
-@query(sql=P5_FOUND)
+@query(sql=f"WITH {_P5} SELECT rec_a, rec_b FROM found")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).pairs()
 
 
-@query()
+@query(sql=f"""WITH RECURSIVE {_P5}, e AS (SELECT rec_a AS x, rec_b AS y FROM found UNION SELECT rec_b, rec_a FROM found), reach AS (SELECT x, x AS y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y),
+k AS (SELECT rec_id, min(rec_id) OVER (PARTITION BY text) AS class_id FROM c), l AS (SELECT e.x, count(DISTINCT b.class_id) AS links FROM e JOIN k a ON a.rec_id = e.x JOIN k b ON b.rec_id = e.y AND b.class_id <> a.class_id GROUP BY e.x)
+SELECT k.rec_id, k.class_id, min(r.y) AS group_id, coalesce(any_value(l.links), 0) AS links FROM reach r JOIN k ON k.rec_id = r.x LEFT JOIN l ON l.x = r.x GROUP BY k.rec_id, k.class_id""")
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every record that has a like one: its group and its number of links between different texts."""
     return _near(spark, d).groups()
