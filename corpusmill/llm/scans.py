@@ -15,11 +15,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import mmap
 import re
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ from corpusmill.sources.tables import cut, ship
 
 #: Times that a line's shape must stand inside a sentence, over all different texts, to be a running title's; other titles' numbers don't count.
 TITLES = 3
-#: Shapes of short lines that are sent to the workers, the most frequent first; a line of a shape left out is judged by where it stands alone. (Words need no such bound: no more than 1 / SURE_CAP of them can be sure.)
+#: Shapes of short lines that occur ``TITLES`` times (rarer ones tell nothing) up to which they are sent to the workers; if there are more, all are looked up in a sorted file instead. (Words need no such bound: no more than 1 / SURE_CAP of them can be sure.)
 SHAPES = 1 << 17
 #: Longest line, in characters, that is taken for a printed line; longer ones are collapsed text, with pieces of the frame inside.
 PRINTED = 110
@@ -77,6 +81,93 @@ def core(chunk: str) -> tuple[str, str, str]:
     return chunk[: len(chunk) - len(a)], b, a[len(b) :]
 
 
+def framed(shape: str, mid: int, rest: int) -> bool:
+    """Whether a shape is a running title's: it stands inside sentences, and is more than names and numbers."""
+    return mid >= TITLES and mid >= 0.6 * (mid + rest) and len(k := shape.split()) > 2 and not set(k) <= {"X", "#", "of", "and"}
+
+
+def damaged(frame: str) -> list[str]:
+    """The patterns of a running title in capitals with one damaged word; none of another title."""
+    k = frame.split()
+    return [" ".join((*k[:i], "*", *k[i + 1 :])) for i in range(len(k))] if all(y == "v" or y[0] in "A^#" for y in k) else []
+
+
+class Shelf:
+    """Shapes with their counts, the first two places of frames and the patterns of damaged ones in one sorted file.
+
+    Every worker has the file and maps it, so that only the pages looked up are
+    in memory. An entry is "=" and a shape, "<" and a beginning, or "*" and a
+    pattern; none holds a tab or a line's end, as chunks have no white space.
+    """
+
+    def __init__(self, name: str):
+        self.name, self.map, self.have = name, None, {}
+
+    def __reduce__(self) -> tuple:
+        return Shelf, (self.name,)
+
+    @staticmethod
+    def filled(seen: DataFrame) -> Shelf:
+        """A file of all rows of ``seen`` (shape, mid, rest); the driver has one partition of it at a time."""
+
+        def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rows = []
+                for x, mid, rest in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    rows.append(("=" + x, mid, rest))
+                    if framed(x, mid, rest):
+                        rows += [("<" + " ".join(x.split()[:2]), 0, 0), *(("*" + y, 0, 0) for y in damaged(x))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2))], ["key", "mid", "rest"])
+
+        every = seen.select("shape", "mid", "rest").mapInArrow(entries, "key string, mid bigint, rest bigint").groupBy("key").agg(F.max("mid").alias("mid"), F.max("rest").alias("rest"))
+        name = f"shapes-{uuid.uuid4().hex[:12]}"
+        path = f"{tempfile.mkdtemp(prefix='corpusmill-')}/{name}"
+        with open(path, "wb") as f:
+            for r in every.orderBy("key").toLocalIterator():
+                f.write(f"{r.key}\t{r.mid}\t{r.rest}\n".encode())
+        seen.sparkSession.sparkContext.addFile(path)
+        return Shelf(name)
+
+    def get(self, key: str) -> tuple[int, int] | None:
+        if key not in self.have:
+            if len(self.have) > 400_000:
+                self.have.clear()
+            self.have[key] = self._find(key.encode())
+        return self.have[key]
+
+    def _find(self, key: bytes) -> tuple[int, int] | None:
+        if self.map is None:
+            with open(SparkFiles.get(self.name), "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        lo, hi = 0, len(self.map)
+        while lo < hi:  # both are beginnings of lines
+            at = self.map.rfind(b"\n", lo, (lo + hi) // 2) + 1 or lo
+            end = self.map.find(b"\n", at)
+            have, mid, rest = self.map[at:end].split(b"\t")
+            if have == key:
+                return int(mid), int(rest)
+            lo, hi = (end + 1, hi) if have < key else (lo, at)
+        return None
+
+
+class Shelved:
+    """One kind of a shelf's entries, in the place of a set or dict."""
+
+    def __init__(self, shelf: Shelf, mark: str):
+        self.shelf, self.mark = shelf, mark
+
+    def get(self, shape: str, default: tuple[int, int]) -> tuple[int, int]:
+        return self.shelf.get(self.mark + shape) or default
+
+    def __contains__(self, key: str | tuple[str, ...]) -> bool:
+        return self.shelf.get(self.mark + (key if isinstance(key, str) else " ".join(key))) is not None
+
+
+class ShelvedFrames(Shelved):
+    def __contains__(self, shape: str) -> bool:
+        return framed(shape, *self.get(shape, (0, 0)))
+
+
 class Lexicon:
     """What the corpus knows of its words."""
 
@@ -266,13 +357,16 @@ class Lexicon:
             k = 12.0
         return UNKNOWN + LETTER * len(w) if k is None else k
 
-    def learn_shapes(self, shapes: dict[str, tuple[int, int]]) -> None:
-        """Shapes of running titles: those that stand inside sentences, and are more than names and numbers."""
+    def learn_shapes(self, shapes: dict[str, tuple[int, int]] | Shelf) -> None:
+        """Shapes of running titles, in memory or on a shelf."""
+        if isinstance(shapes, Shelf):
+            self.shapes, self.frames = Shelved(shapes, "="), ShelvedFrames(shapes, "=")
+            self.starts, self.capital_frames = Shelved(shapes, "<"), Shelved(shapes, "*")
+            return
         self.shapes = shapes
-        self.frames = {x for x, (mid, rest) in shapes.items() if mid >= TITLES and mid >= 0.6 * (mid + rest) and len(k := x.split()) > 2 and not set(k) <= {"X", "#", "of", "and"}}
+        self.frames = {x for x, (mid, rest) in shapes.items() if framed(x, mid, rest)}
         self.starts = {tuple(x.split()[:2]) for x in self.frames}
-        capital = [k for k in (x.split() for x in self.frames) if all(y == "v" or y[0] in "A^#" for y in k)]
-        self.capital_frames = {" ".join((*k[:i], "*", *k[i + 1 :])) for k in capital for i in range(len(k))}
+        self.capital_frames = {y for x in self.frames for y in damaged(x)}
 
     def capital_frame(self, kinds: list[str]) -> bool:
         """Whether the shape is a known running title's in capitals, but for one damaged word."""
@@ -304,7 +398,7 @@ class Lexicon:
     def title_share(self, shape: str) -> float | None:
         """How often lines of this shape stand in the middle of a sentence; None where too few are known."""
         mid, rest = self.shapes.get(shape, (0, 0))
-        return mid / (mid + rest) if mid + rest >= 3 else None
+        return mid / (mid + rest) if mid + rest >= TITLES else None
 
     def stray_number(self, chunk: str, prev: str | None, after: str | None) -> int:
         """On how many sides, of two, a plain number doesn't belong beside its neighbour."""
@@ -621,7 +715,7 @@ def distinct(texts: DataFrame, text: str) -> DataFrame:
 
 
 def learn(texts: DataFrame, text: str) -> Lexicon:
-    """The corpus' knowledge, from all different texts. Tasks count first; only counts are shuffled, and only the most frequent collected.
+    """The corpus' knowledge, from all different texts. Tasks count first; only counts are shuffled, and only of frequent words, and of shapes up to ``SHAPES``, collected.
 
     A text counts once however many rows hold it: copies of a damaged one would
     make its own misread words and broken pieces sure words.
@@ -679,7 +773,8 @@ def learn(texts: DataFrame, text: str) -> Lexicon:
             yield pa.RecordBatch.from_pydict({"shape": pa.array([k[0] for k in n], pa.string()), "mid": pa.array([v if k[1] else 0 for k, v in n.items()], pa.int64()), "rest": pa.array([0 if k[1] else v for k, v in n.items()], pa.int64())})
 
     seen = counts.where("kind IN ('m', 'r')").mapInArrow(shapes, "shape string, mid bigint, rest bigint").groupBy("shape").agg(F.sum("mid").alias("mid"), F.sum("rest").alias("rest"))
-    lexicon.learn_shapes({r["shape"]: (r.mid, r.rest) for r in seen.orderBy(F.desc(F.col("mid") + F.col("rest")), "shape").limit(SHAPES).collect()})
+    seen = cut(seen.where(F.col("mid") + F.col("rest") >= TITLES))
+    lexicon.learn_shapes(Shelf.filled(seen) if seen.count() > SHAPES else {r["shape"]: (r.mid, r.rest) for r in seen.collect()})
     return lexicon
 
 

@@ -149,3 +149,19 @@ def test_nulls_blanks_repeats_and_empty_tables(spark):
     assert got == {("1", None, ()), ("2", "", ()), ("3", " \n ", ()), ("4", "a b c", ("page_number",)), ("5", "long", ())}
     assert [tuple(r) for r in scans.found(df).collect()] == [("p", "4", "page_number")]
     assert scans.found(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_shapes_beyond_those_in_memory_are_all_looked_up(spark, corpus, lexicon, monkeypatch):
+    texts = [f"The court of the state found that the lease was void in the\nTHE {a} OF {b} {n}\nmatter of the court and that the bank and the state had not" for n, (a, b) in enumerate([("COURT", "STATE")] * 4 + [("STATE", "BANK")] * 3 + [("LEASE", "COURT")] * 2)]
+    texts += [f"The court found this in the case.\nThe Lease Of The State {n}\nThe bank and the state had not said so in the case." for n in range(4)]
+    df = corpus.unionByName(spark.createDataFrame([("p", f"t{k}", t) for k, t in enumerate(texts)] + [("p", "inline", "the matter of the court " * 6 + "THE STATE OF BANK 7 and the bank " + "THE STATF OF BANK 8 and the bank")], SCHEMA))
+    full, want = scans.learn(df, "text"), {tuple(r) for r in scans.found(df).collect()}
+    monkeypatch.setattr(scans, "SHAPES", 2)
+    few = scans.learn(df, "text")
+    assert len(full.shapes) > 10 and len(full.frames) > 1 and full.starts and full.capital_frames
+    for x in [*full.shapes, "no such ^shape", ""]:
+        assert few.title_share(x) == full.title_share(x) and (x in few.frames) == (x in full.frames)
+        for k in (x.split(), x.split()[1:], [*x.split()[:1], "A", *x.split()[2:]]):
+            assert few.capital_frame(k) == full.capital_frame(k) and (tuple(k[:2]) in few.starts) == (tuple(k[:2]) in full.starts)
+    assert {tuple(r) for r in scans.found(df).collect()} == want
+    assert ("p", "t0", "header") in want
