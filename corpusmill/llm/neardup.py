@@ -1,11 +1,17 @@
 """Problem 5: records that are small alterations of one another.
 
-Consistent sampling of the distinct shingles, all of one weight: each text gets
-``HASHES`` samples; two texts agree in a sample with a probability equal to
-their plain Jaccard similarity, however frequent the shingles are that they
-share. Bands of three samples give candidate pairs, an exact count of the
-shingles decides.
-
+Improved consistent weighted sampling over TF-IDF shingles: each text gets
+``WEIGHTED`` samples, and two texts agree in one with a probability equal to
+their weighted Jaccard similarity. Where what they share is frequent and what
+differs is rare, that is far below the plain similarity; so each text has
+``HASHES`` samples of its distinct shingles, all of one weight, beside them,
+which agree by the plain one. Bands of three samples of a kind give candidate
+pairs, and an exact count of the shingles decides on all of them: the weights
+add candidates and drop none.
+
+* Document frequencies come from a pass over all records into a count-min row
+  of fixed size (``CELLS``): what is sent to the workers doesn't grow with the
+  corpus.
 * Copies are one class before anything is paired: a text that a third of the
   rows repeat is one row in the bands, and is expanded to its rows at the end,
   each with each up to ``ALL_PAIRS`` copies, beyond in proportion to the rows.
@@ -18,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +35,13 @@ from corpusmill.llm.expand import between, to_rows, within
 from corpusmill.sources.tables import cut, ship
 
 SHINGLE = 5
-HASHES = 64
-#: Each band joins three samples; every sample is in three bands.
-BANDS = tuple((k, (k + 5) % HASHES, (k + 17) % HASHES) for k in range(HASHES))
+CELLS = 1 << 18
+#: Samples of each text: weighted ones, and behind them those of one weight.
+WEIGHTED, HASHES = 16, 64
+#: Each band joins three samples of a kind; every sample is in three bands.
+BANDS = tuple((a + k, a + (k + 5) % n, a + (k + 17) % n) for a, n in ((0, WEIGHTED), (WEIGHTED, HASHES)) for k in range(n))
+#: Bits of a band's key. Texts that share one by chance are candidates that the count drops; fewer bits are less to shuffle.
+KEY = 48
 #: Copies up to which a text's rows are paired each with each. Of more copies each is paired with the first, and of two linked texts with more than the square of it pairs of rows each row is paired with the other's first: ``groups`` names each row's class, so these pairs and the classes give all others, and no text loses a link.
 ALL_PAIRS = 1000
 #: Rows of one class that meet in one join key; larger classes are dealt to several.
@@ -41,10 +52,10 @@ SEEN = 1_000_000
 BROADCAST_KEYS = 1_000_000
 _WORD = re.compile("[a-z0-9]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Elements in a block of the sampling.
-BLOCK = 1 << 15
-_SALT = [np.uint64(0x632BE59BD9B4E019 * (k + 1) >> 5 & (1 << 46) - 1) for k in range(HASHES)]
-_ODD = [np.uint64(int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=8).digest(), "little") | 1) for k in range(HASHES)]
+#: Bits of the tables of quantiles; elements in a block of the sampling.
+BITS, BLOCK = 14, 1 << 15
+_SALT = [np.uint64(0x632BE59BD9B4E019 * (k + 1) >> 5 & (1 << 46) - 1) for k in range(WEIGHTED + HASHES)]
+_ODD = [np.uint64(int.from_bytes(hashlib.blake2b(b"%d" % k, digest_size=8).digest(), "little") | 1) for k in range(WEIGHTED + HASHES)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,8 +79,8 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
-def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the distinct shingles of each text: row, hash of 46 bits. Sorted by row and hash."""
+def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the distinct shingles of each text: row, hash of 46 bits, count. Sorted by row and hash."""
     get, flat, ends = _WORDS.__getitem__, [], []
     for t in texts:
         if t:
@@ -78,7 +89,7 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     w = np.array(flat, dtype=np.uint64)
     n = len(w) - SHINGLE + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(ends), dtype=np.uint64), np.diff(ends, prepend=0))
     h = w[:n].copy()
     for k in range(1, SHINGLE):
@@ -88,37 +99,120 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     h |= of[:n] << np.uint64(46)
     key = h[of[:n] == of[SHINGLE - 1 :]]  # a run of words that crosses into the next text is none
     key.sort()
-    key = key[np.flatnonzero(np.diff(key, prepend=~key[:1]))]
-    return (key >> np.uint64(46)).astype(np.int64), key & np.uint64((1 << 46) - 1)
-
-
-def samples(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that have a shingle, and for each its HASHES samples of 32 bits.
-
-    For sample k each shingle draws 64 bits from its hash; that of the least
-    draw is the sample, named by the draw's lower half. Rows are taken in blocks
-    that stay in the processor's cache, in a buffer that is used again.
+    first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    key, counts = key[first], np.diff(first, append=len(key))
+    return (key >> np.uint64(46)).astype(np.int64), key & np.uint64((1 << 46) - 1), counts
+
+
+def cell(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(CELLS)).astype(np.int64)
+
+
+def frequencies(df: DataFrame, text: str) -> np.ndarray:
+    """Of each cell, how many records have a shingle there, over all records; last, the records counted."""
+    size = 4096
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, docs = np.zeros(CELLS, np.int64), 0
+        for b in batches:
+            for at in range(0, b.num_rows, 4000):
+                row, h, _ = shingles(b.column(0).slice(at, 4000).to_pylist())
+                n += np.bincount(cell(h), minlength=CELLS)
+                docs += len(np.unique(row))
+        for k in range(CELLS // size) if docs else ():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n[k * size : (k + 1) * size]], pa.list_(pa.int64()))], ["block", "n"])
+        if docs:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([[docs]], pa.list_(pa.int64()))], ["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1)):
+                total[k] = total.get(k, 0) + n.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.list_(pa.int64()))], ["block", "n"])
+
+    out = np.zeros(CELLS + 1, np.int64)
+    parts = df.select(F.col(text)).mapInArrow(count, "block int, n array<bigint>").repartition(8, "block")
+    for r in parts.mapInArrow(add, "block int, n array<bigint>").toArrow().to_pylist():
+        if r["block"] < 0:
+            out[CELLS] = r["n"][0]
+        else:
+            out[r["block"] * size : (r["block"] + 1) * size] = r["n"]
+    return out
+
+
+def weights(freq: np.ndarray) -> np.ndarray:
+    """The inverse document frequency of each cell, above 0."""
+    return np.log1p((freq[CELLS] + 1.0) / (freq[:CELLS] + 0.5)).astype(np.float32)
+
+
+@lru_cache(1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of Gamma(2, 1) at the middles of 2**BITS equal parts, and their logarithms, made positive."""
+    q = (np.arange(1 << BITS) + 0.5) / (1 << BITS)
+    lo, hi = np.zeros_like(q), np.full_like(q, 60.0)
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        below = 1 - np.exp(-mid) * (1 + mid) < q
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return lo.astype(np.float32), (np.log(lo) + 256).astype(np.float32)
+
+
+def samples(row: np.ndarray, h: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a shingle, and for each its ``WEIGHTED`` and ``HASHES`` samples of 32 bits.
+
+    For a weighted sample an element draws r, c ~ Gamma(2, 1) and b ~ U(0, 1)
+    from its hash; t = floor(ln w / r + b), ln y = r (t - b), ln a = ln c - ln y - r;
+    the element of the least a is the sample, with its t. For one of the others
+    it draws 64 bits; that of the least draw is the sample, named by the draw's
+    lower half. Rows are taken in blocks that stay in the processor's cache, in
+    buffers that are used again.
     """
+    gamma, lngamma = _tables()
     first = np.flatnonzero(np.diff(row, prepend=-1))
-    out = np.empty((len(first), HASHES), np.uint32)
+    out = np.empty((len(first), WEIGHTED + HASHES), np.uint32)
+    lnw = np.log(weight, dtype=np.float32)
     ends = np.append(first, len(row))
     x = 0
     while x < len(first):
         y = max(x + 1, int(np.searchsorted(ends, ends[x] + BLOCK, "right")) - 1)
         lo, hi = ends[x], ends[y]
-        e, starts, u = h[lo:hi], first[x:y] - lo, np.empty(hi - lo, np.uint64)
-        for k in range(HASHES):
+        e, w, starts, n = h[lo:hi], lnw[lo:hi], first[x:y] - lo, hi - lo
+        u, at, packed = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+        r, c, beta, t = (np.empty(n, np.float32) for _ in range(4))
+        low, high = packed.view(np.uint32)[0::2], packed.view(np.float32)[1::2]
+        for k in range(WEIGHTED + HASHES):
             np.bitwise_xor(e, _SALT[k], out=u)
             np.multiply(u, _ODD[k], out=u)
-            out[x:y, k] = np.minimum.reduceat(u, starts) & np.uint64(0xFFFFFFFF)
+            if k >= WEIGHTED:
+                out[x:y, k] = np.minimum.reduceat(u, starts) & np.uint64(0xFFFFFFFF)
+                continue
+            np.right_shift(u, np.uint64(64 - BITS), out=at)
+            np.take(gamma, at.view(np.int64), out=r, mode="clip")
+            np.right_shift(u, np.uint64(64 - 2 * BITS), out=at)
+            np.bitwise_and(at, np.uint64((1 << BITS) - 1), out=at)
+            np.take(lngamma, at.view(np.int64), out=c, mode="clip")
+            np.right_shift(u, np.uint64(12), out=at)
+            np.bitwise_and(at, np.uint64((1 << 24) - 1), out=at)
+            np.copyto(beta, at.view(np.int64), casting="unsafe")
+            beta *= np.float32(2**-24)
+            np.divide(w, r, out=t)
+            t += beta
+            np.floor(t, out=t)
+            np.subtract(beta, t, out=beta)
+            beta -= np.float32(1)
+            beta *= r  # - ln y - r
+            np.add(c, beta, out=high)  # ln a, made positive by the table, so that its bits sort like its value
+            np.bitwise_xor(u.view(np.uint32)[0::2], t.view(np.uint32), out=low)
+            out[x:y, k] = np.minimum.reduceat(packed, starts).view(np.uint32)[0::2]
         x = y
     return row[first], out
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:
-    """For each row a key of 64 bits of each band."""
+    """For each row a key of ``KEY`` bits of each band."""
     s = s.astype(np.uint64)
-    return np.stack([_mix(_mix(_mix(s[:, i] + np.uint64(k << 33)) + s[:, j]) + s[:, m]) for k, (i, j, m) in enumerate(BANDS)], 1).view(np.int64)
+    return np.stack([_mix(_mix(_mix(s[:, i] + np.uint64(k << 33)) + s[:, j]) + s[:, m]) >> np.uint64(64 - KEY) for k, (i, j, m) in enumerate(BANDS)], 1).view(np.int64)
 
 
 def classes(texts: list[str | None]) -> np.ndarray:
@@ -185,6 +279,7 @@ class NearDuplicates:
 
     def candidates(self) -> DataFrame:
         """Pairs of classes, a < b, that share a band; each class is in a band once."""
+        idf = weights(frequencies(self.df, "t"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -193,7 +288,8 @@ class NearDuplicates:
                 new = once(all_c, seen)
                 for at in range(0, len(new), 4000):
                     part = new[at : at + 4000]
-                    rows, s = samples(*shingles(b.column(1).take(pa.array(part)).to_pylist()))
+                    row, h, n = shingles(b.column(1).take(pa.array(part)).to_pylist())
+                    rows, s = samples(row, h, idf[cell(h)] * n)
                     c = np.repeat(all_c[part][rows], len(BANDS))
                     yield pa.RecordBatch.from_arrays([pa.array(band_keys(s).ravel()), pa.array(c)], ["band", "c"])
 
@@ -220,7 +316,7 @@ class NearDuplicates:
             for b in batches:
                 for at in range(0, b.num_rows, 2000):
                     part = b.slice(at, 2000)
-                    (ra, ha), (rb, hb) = (shingles(part.column(k).to_pylist()) for k in (2, 3))
+                    (ra, ha, _), (rb, hb, _) = (shingles(part.column(k).to_pylist()) for k in (2, 3))
                     ka, kb = (ra.astype(np.uint64) << np.uint64(46)) | ha, (rb.astype(np.uint64) << np.uint64(46)) | hb
                     _, ia, _ = np.intersect1d(ka, kb, True, True)
                     sums = lambda r: np.bincount(r, minlength=part.num_rows)  # noqa: E731, B023

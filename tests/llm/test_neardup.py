@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from corpusmill.llm import neardup
 
 SCHEMA = "rec_id long, text string, at timestamp"
@@ -124,3 +126,35 @@ def test_groups_are_components(spark):
 def test_empty_table(spark):
     n = neardup.NearDuplicates(spark.createDataFrame([], SCHEMA), "rec_id", "text", "at")
     assert n.pairs().count() == 0 and n.groups().count() == 0
+
+
+def test_samples_agree_by_the_weighted_and_by_the_plain_similarity():
+    """Texts that share shingles frequent in the corpus and differ in rare ones, and the other way round."""
+    r = random.Random(5)
+    some = lambda n: " ".join(f"y{r.randrange(10**9)}" for _ in range(n))
+    for shared, own in ((0.8, 8.0), (8.0, 0.8)):
+        agree, weighted, plain = [], [], []
+        for _ in range(1500):
+            same = some(45)
+            row, h, n = neardup.shingles([f"{same} {some(30)}", f"{same} {some(15)} {' '.join(same.split()[:9])}"])
+            w = (np.where(np.isin(h, neardup.shingles([same])[1]), shared, own) * n).astype(np.float32)
+            x, y = (dict(zip(h[row == i].tolist(), w[row == i].tolist())) for i in (0, 1))
+            weighted.append(sum(min(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}) / sum(max(x.get(k, 0), y.get(k, 0)) for k in {*x, *y}))
+            plain.append(len({*x} & {*y}) / len({*x, *y}))
+            s = neardup.samples(row, h, w)[1]
+            agree.append(s[0] == s[1])
+        got = np.mean(agree, 0)
+        assert abs(got[: neardup.WEIGHTED].mean() - np.mean(weighted)) < 0.02 and abs(got[neardup.WEIGHTED :].mean() - np.mean(plain)) < 0.02
+        assert abs(np.mean(weighted) - np.mean(plain)) > 0.2
+
+
+def test_weights_come_from_all_records(spark):
+    t = [" ".join(f"{x}{k}" for k in range(20)) for x in "abc"]
+    freq = neardup.frequencies(spark.createDataFrame([(x,) for x in [t[0]] * 90 + t + [None, "", "two words"]], "t string"), "t")
+    idf, (row, h, _) = neardup.weights(freq), neardup.shingles(t)
+    assert freq[-1] == 93 and freq[:-1].sum() == 93 * 16
+    assert idf[neardup.cell(h[row == 0])].max() < 0.75 < 3 < np.median(idf[neardup.cell(h[row > 0])])
+
+
+def test_bands_join_samples_of_one_kind():
+    assert len(neardup.BANDS) == neardup.WEIGHTED + neardup.HASHES and all(len(set(b)) == 3 and len({i < neardup.WEIGHTED for i in b}) == 1 for b in neardup.BANDS)
